@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -32,12 +33,13 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     top = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as d:
-        path = Path(d) / "basepack.zip"
-        with zipfile.ZipFile(path, "w") as z:
-            for p in sorted(top.rglob("*.py")):
-                z.write(p, p.relative_to(top.parent))
-        spark.sparkContext.addPyFile(str(path))
+    d = tempfile.mkdtemp(prefix="basepack-")  # served to executors until the driver ends
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    path = Path(d) / "basepack.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(path))
 
 
 class Workspace:
@@ -71,8 +73,6 @@ class Workspace:
         sc = self.spark.sparkContext
         if sc._jsc is None or sc._jsc.sc().isStopped():
             if urlparse(self.root).scheme in ("", "file"):
-                import shutil
-
                 shutil.rmtree(urlparse(self.root).path, ignore_errors=True)
             return
         for t in self._tables:
