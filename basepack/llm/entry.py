@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 from .jaccard import op3_ngram_jaccard_join
+from .langid import op10_rank_order_language_id
+from .packing import op5_harmonic_packing
+from .sharding import op8_jump_hash_sharding
+from .substring_dedup import op1_fm_index_substring_dedup
+from .suffix_dedup import op2_suffix_array_dedup
 
 
 def queries() -> dict:
-    return {
-        "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
-    }
+    found = [
+        op1_fm_index_substring_dedup,
+        op2_suffix_array_dedup,
+        op3_ngram_jaccard_join,
+        op5_harmonic_packing,
+        op8_jump_hash_sharding,
+        op10_rank_order_language_id,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
