@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from . import quality
+from .decontam import op7_smith_waterman_decontamination
+from .hmm import op9_hmm_language_model
 from .jaccard import op3_ngram_jaccard_join
 from .langid import op10_rank_order_language_id
 from .packing import op5_harmonic_packing
+from .quality import op6_quality_rule_ledger
 from .sharding import op8_jump_hash_sharding
 from .substring_dedup import op1_fm_index_substring_dedup
 from .suffix_dedup import op2_suffix_array_dedup
+from .url_filter import op4_url_logistic_filter
 
 
 def queries() -> dict:
@@ -15,12 +20,16 @@ def queries() -> dict:
         op1_fm_index_substring_dedup,
         op2_suffix_array_dedup,
         op3_ngram_jaccard_join,
+        op4_url_logistic_filter,
         op5_harmonic_packing,
+        op6_quality_rule_ledger,
+        op7_smith_waterman_decontamination,
         op8_jump_hash_sharding,
+        op9_hmm_language_model,
         op10_rank_order_language_id,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality_rule_ledger": quality.SQL}

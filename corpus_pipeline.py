@@ -3,10 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from basepack.llm import decontam, jaccard, langid, packing, suffix_dedup
 from basepack.workspace import Workspace
 
-STAGES: list = []
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned stay; those without a letter go."""
+    held_out = langid.fold("doc_id") % langid.FOLDS == langid.HELD_OUT
+    learned = langid.profiles(docs.where(~held_out), "text", "lang")
+    return langid.predict(docs, learned).where("lang_pred <> 'und'").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of a 5-word-shingle similarity of 0.8 or more stays, that of the smallest doc_id."""
+    return jaccard.JaccardJoin(docs, n=5, num=80, den=100).kept()
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes go where a document of a smaller doc_id has them; n_chars follows the text."""
+    kept = suffix_dedup.dedup(suffix_dedup.repeats(docs))
+    return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, ids=True)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_leaks", benchmark_leaks),
+    ("packed", packed),
+]
 
 #: No SQL: rank-order profiles, suffix arrays and alignments are beyond it; tested against brute force.
 ORACLE_SQL = None
@@ -15,6 +51,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for name, stage in STAGES:
         docs = ws.write(name, stage(spark, docs, sf_dir))
-    return ws.write(STAGES[-1][0], STAGES[-1][1](spark, docs, sf_dir))
+    return docs
