@@ -113,10 +113,10 @@ def parse_size(label: Column) -> tuple[Column, Column]:
 
 
 def format_bytes(n: Column) -> Column:
-    """Two decimals and the largest unit of which there is at least one."""
+    """Two decimals, ties to even, and the largest unit of which there is at least one."""
     out = None
     for i in range(len(_UNITS) - 1, -1, -1):
-        text = F.concat(F.format_string("%.2f", n.cast("double") / float(1 << (10 * i))), F.lit(f" {_UNITS[i]}"))
+        text = F.concat(F.format_string("%.2f", F.bround(n.cast("double") / float(1 << (10 * i)), 2)), F.lit(f" {_UNITS[i]}"))
         out = text if i == len(_UNITS) - 1 else F.when(n < (1 << (10 * (i + 1))), text).otherwise(out)
     return out
 
