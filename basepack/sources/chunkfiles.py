@@ -53,7 +53,8 @@ def read_store(spark: SparkSession, path: str, arch: str, compressor: str, chunk
 def storage_bytes(spark: SparkSession, path: str) -> dict:
     """Apparent bytes and number of all files below a store, the done-marker included."""
     size, n = files.listing(spark, path).agg(F.sum("length"), F.count("*")).first()
-    return {"apparent_bytes": size or 0, "file_count": n}
+    marker = files.read(f"{path}/{DONE}")  # Spark lists no file whose name begins with a dot
+    return {"apparent_bytes": (size or 0) + len(marker or b""), "file_count": n + (marker is not None)}
 
 
 def write_results(df: DataFrame, path: str) -> bool:
