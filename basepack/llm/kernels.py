@@ -116,6 +116,9 @@ def ranks(keys: np.ndarray) -> np.ndarray:
     """Dense ranks of integer keys."""
     order = np.argsort(keys, kind="stable")
     s = keys[order]
-    r = np.empty(len(keys), np.int64)
-    r[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])]) if len(s) else np.empty(0, np.int64)
-    return r
+    step = np.zeros(len(s), np.int32)
+    step[1:] = s[1:] != s[:-1]
+    del s
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.cumsum(step, dtype=np.int32)
+    return out

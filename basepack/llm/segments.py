@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from ..workspace import Workspace
@@ -23,15 +24,19 @@ from . import kernels as K
 
 HOT_BATCHES = 1000
 #: Bytes of text for each shard.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
+#: Parts of a shard, by anchor, that are matched one after another.
+PARTS = 16
+#: Symbols of which anchors are computed at once.
+PART_SYMBOLS = 1 << 19
 _SCHEMA = "kind string, bucket long, batch long, blob binary"
 
 
 @dataclass
 class Block:
-    """Symbols of a batch: ``symbols`` are hashes, ``data[lo[i]:hi[j]]`` the bytes of symbols i to j."""
+    """Symbols of a batch: ``symbols(i, j)`` hashes them, ``data[lo[i]:hi[j]]`` are the bytes of symbols i to j."""
 
-    symbols: np.ndarray
+    symbols: Callable[[int, int], np.ndarray]
     bounds: np.ndarray
     data: bytes
     lo: np.ndarray | None
@@ -51,15 +56,23 @@ class Shard:
 
 
 def _anchors(block: Block, window: int, k: int):
-    grams = K.gram_hashes(block.symbols, k)
-    first, last, at = K.anchored_runs(grams, block.bounds, window, k)
-    return first, last, grams[at]
+    """(first window, last window, anchor) of all runs, from parts of whole documents that bound the memory."""
+    ends, parts, at = block.bounds, [], 0
+    while at < len(ends) - 1:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PART_SYMBOLS, side="right")) - 1)
+        base = ends[at]
+        grams = K.gram_hashes(block.symbols(int(base), int(ends[to])), k)
+        first, last, place = K.anchored_runs(grams, ends[at : to + 1] - base, window, k)
+        parts.append((first + base, last + base, grams[place]))
+        at = to
+    empty = np.empty(0, np.int64)
+    return tuple(np.concatenate([e, *(p[i] for p in parts)]) for i, e in enumerate((empty, empty, empty.astype(np.uint64))))
 
 
 def _pack(arrays: list[np.ndarray], data: bytes) -> bytes:
     parts = [a.tobytes() for a in arrays]
     head = np.array([len(arrays[0]), *(len(p) for p in parts)], np.int64).tobytes()
-    return B.pack(head + b"".join(parts) + data)
+    return zstandard.compress(head + b"".join(parts) + data, 3)
 
 
 def _unpack(blob: bytes, types: tuple) -> tuple[list[np.ndarray], bytes]:
@@ -85,7 +98,7 @@ def _segments(read: Callable, id_col: str, window: int, k: int, shards: int, wit
         start, end = np.concatenate([first[one], single]), np.concatenate([last[one], single])
         route = anchor[one]
         if len(single):
-            route = np.concatenate([route, K.gram_hashes(block.symbols, window)[single]])
+            route = np.concatenate([route, K.gram_hashes(block.symbols(0, int(block.bounds[-1])), window)[single]])
         doc = np.searchsorted(block.bounds, start, side="right") - 1
         who, local = ids[doc], start - block.bounds[doc]
         order = np.lexsort((start, local, who) if within else (start, who))
@@ -106,7 +119,7 @@ def _segments(read: Callable, id_col: str, window: int, k: int, shards: int, wit
         for b, part in B.by_bucket(B.bucket_of(route[send], shards)):
             at = send[part]
             chosen = [pieces[i] for i in part.tolist()]
-            yield {"kind": ["segment"], "bucket": [b], "batch": [batch], "blob": [_pack([who[at], local[at].astype(np.int64), start[at].astype(np.int64), np.array([len(x) for x in chosen], np.int64)], b"".join(chosen))]}
+            yield {"kind": ["segment"], "bucket": [b], "batch": [batch], "blob": [_pack([who[at], local[at].astype(np.int64), start[at].astype(np.int64), np.array([len(x) for x in chosen], np.int32), (route[at] % np.uint64(PARTS)).astype(np.uint8)], b"".join(chosen))]}
 
     return run
 
@@ -115,13 +128,26 @@ def _matched(match: Callable, window: int, within: bool):
     """match(Shard) -> (segment, first window, last window) of the repeated windows of the earliest occurrences."""
 
     def run(table: pa.Table) -> Iterator[dict]:
-        batch, who, local, start, pieces = [], [], [], [], []
+        batch, who, local, start, piece_of, part, base, data = [], [], [], [], [], [], 0, []
         for b, blob in zip(table.column("batch").to_pylist(), table.column("blob")):
-            (w, l, s, n), data = _unpack(blob.as_py(), (np.int64,) * 4)
-            batch.append(np.full(len(w), b)), who.append(w), local.append(l), start.append(s)
-            cut = np.concatenate([[0], np.cumsum(n)]).tolist()
-            pieces += [data[i:j] for i, j in zip(cut, cut[1:])]
-        batch, who, local, start = map(np.concatenate, (batch, who, local, start))
+            (w, l, s, n, p), text = _unpack(blob.as_py(), (np.int64, np.int64, np.int64, np.int32, np.uint8))
+            batch.append(np.full(len(w), b)), who.append(w), local.append(l), start.append(s), part.append(p)
+            piece_of.append(np.stack([np.cumsum(n) - n, np.cumsum(n)]).astype(np.int64) + base)
+            data.append(text)
+            base += len(text)
+        batch, who, local, start, part = map(np.concatenate, (batch, who, local, start, part))
+        lo, hi = np.concatenate(piece_of, axis=1)
+        data = b"".join(data)
+        found = []
+        for _, at in B.by_bucket(part):
+            pieces = [data[i:j] for i, j in zip(lo[at].tolist(), hi[at].tolist())]
+            found.append(one(batch[at], who[at], local[at], start[at], pieces))
+        batch, begin, end = (np.concatenate(x) for x in zip(*found))
+        for b, at in B.by_bucket(batch):
+            yield {"batch": [b], "blob": [B.pack(np.stack([begin[at], end[at]]).astype(np.int64).tobytes())]}
+
+    def one(batch, who, local, start, pieces):
+        """(batch, begin, end) of the covered symbols of one part of a shard."""
         number: dict[bytes, int] = {}
         seg = np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int64, len(pieces))
         del pieces
@@ -143,8 +169,7 @@ def _matched(match: Callable, window: int, within: bool):
         row = np.concatenate([full, rows])
         begin = np.concatenate([start[full], start[rows] + a[again]])
         end = np.concatenate([start[full] + size[seg[full]], start[rows] + z[again] + window])
-        for b, part in B.by_bucket(batch[row]):
-            yield {"batch": [b], "blob": [B.pack(np.stack([begin[part], end[part]]).astype(np.int64).tobytes())]}
+        return batch[row], begin, end
 
     return run
 
@@ -176,6 +201,6 @@ class Repeats:
             block = read(table)
             pairs = [np.frombuffer(B.unpack(x), np.int64).reshape(2, -1) for x in answers.column("blob").to_pylist()]
             pairs = np.concatenate([np.empty((2, 0), np.int64), *pairs], axis=1)
-            yield from fn(table, block, K.covered(len(block.symbols), pairs[0], pairs[1]))
+            yield from fn(table, block, K.covered(int(block.bounds[-1]), pairs[0], pairs[1]))
 
         return self.batches.give(self.spans, run, schema)

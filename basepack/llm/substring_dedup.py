@@ -33,7 +33,7 @@ def read_words(text_col: str):
         found, bounds = W.split(B.texts_of(table, text_col))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         hi = np.cumsum(sizes + 1) - 1
-        return Block(W.hashes(found), bounds, b" ".join(found), hi - sizes, hi)
+        return Block(lambda i, j: W.hashes(found[i:j]), bounds, b" ".join(found), hi - sizes, hi)
 
     return run
 
@@ -87,9 +87,9 @@ class FMIndex:
 
     @staticmethod
     def _joined(left: np.ndarray, right: np.ndarray, span: int) -> np.ndarray:
-        behind = np.zeros(len(left), np.int64)
-        behind[:-span] = right[span:] + 1
-        return K.ranks(left * np.int64(len(left) + 2) + behind)
+        key = left * np.int64(len(left) + 2)
+        key[:-span] += right[span:] + np.int64(1)
+        return K.ranks(key)
 
     def _of(self, spans: dict[int, np.ndarray], length: int) -> np.ndarray:
         """Ranks by the next ``length`` symbols."""

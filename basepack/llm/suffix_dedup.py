@@ -35,7 +35,7 @@ def read_bytes(text_col: str):
         data = b"".join(texts)
         bounds = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) for t in texts], out=bounds[1:])
-        return Block(_TABLE[np.frombuffer(data, np.uint8)], bounds, data, None, None)
+        return Block(lambda i, j: _TABLE[np.frombuffer(data, np.uint8)[i:j]], bounds, data, None, None)
 
     return run
 
@@ -50,9 +50,9 @@ def suffix_ranks(x: np.ndarray) -> dict[int, np.ndarray]:
     out = {8: K.ranks(key[: len(x)])}
     while span < DEPTH:
         r = out[span]
-        behind = np.zeros(len(r), np.int64)
-        behind[:-span] = r[span:] + 1
-        out[span * 2] = K.ranks(r * np.int64(len(r) + 2) + behind)
+        key = r * np.int64(len(r) + 2)
+        key[:-span] += r[span:] + np.int64(1)
+        out[span * 2] = K.ranks(key)
         span *= 2
     return out
 
