@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..workspace import Workspace
 from . import batches as B
+from . import caches
 from . import kernels as K
 from . import words as W
 
@@ -39,8 +40,6 @@ CHUNK = 256
 PRIOR = 50.0
 FOLDS, HELD_OUT = 7, 2
 _END = 0xE4D
-_cache: dict[bytes, int] = {}
-_CACHE_MAX = 300_000
 
 
 def word_class(word: bytes) -> int:
@@ -48,25 +47,47 @@ def word_class(word: bytes) -> int:
     return 1 + xxhash.xxh3_64_intdigest(word.decode("utf-8", "replace")[-SUFFIX:].encode()) % (CLASSES - 1)
 
 
+class _Classes(dict):
+    """Classes of words seen; an accelerator only."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = c = word_class(word)
+        return c
+
+
+class _Numbers(dict):
+    """Words of a batch, numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+_classes = caches.register("words", _Classes())
+_CACHE_MAX = 300_000
+
+
+def _with_ends(values: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's values and, after them, its end token's; and the new bounds."""
+    ends = bounds[1:] + np.arange(len(bounds) - 1)
+    out = np.empty(len(values) + len(ends), np.int64)
+    out[ends] = end
+    inside = np.ones(len(out), bool)
+    inside[ends] = False
+    out[inside] = values
+    return out, np.concatenate([[0], ends + 1])
+
+
 def read(table: pa.Table, text_col: str):
     """(distinct word hashes, their classes, word number of each token, bounds of the texts)."""
+    if len(_classes) > _CACHE_MAX:
+        _classes.clear()
     found, bounds = W.split([t.lower() for t in B.texts_of(table, text_col)])
-    number: dict[bytes, int] = {}
-    token = np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64, len(found))
-    if len(_cache) > _CACHE_MAX:
-        _cache.clear()
-    for w in number:
-        if w not in _cache:
-            _cache[w] = word_class(w)
+    number = _Numbers()
+    token = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
     keys = np.concatenate([W.hashes(list(number)), np.array([_END], np.uint64)])
-    classes = np.array([*map(_cache.__getitem__, number), 0], np.int64)
-    ends = bounds[1:] + np.arange(len(bounds) - 1)  # each text's end token, after its words
-    out = np.empty(len(token) + len(ends), np.int64)
-    out[ends] = len(number)
-    inside = np.ones(len(out), bool)
-    inside[ends] = False
-    out[inside] = token
-    return keys, classes, out, np.concatenate([[0], ends + 1])
+    classes = np.array([*map(_classes.__getitem__, number), 0], np.int64)
+    return keys, classes, *_with_ends(token, bounds, len(number))
 
 
 def learns(table: pa.Table) -> np.ndarray:
@@ -80,7 +101,11 @@ def _ask(text_col: str, buckets: int):
         counts = np.bincount(token[each], minlength=len(keys))
         for b, part in B.by_bucket(B.bucket_of(keys, buckets)):
             arrays = [keys[part].tobytes(), counts[part].astype(np.int32).tobytes(), classes[part].astype(np.int16).tobytes()]
-            yield {"bucket": [b], "batch": [batch], "blob": [B.pack(len(part).to_bytes(8, "little") + b"".join(arrays))]}
+            yield {"kind": ["words"], "bucket": [b], "batch": [batch], "blob": [B.pack(len(part).to_bytes(8, "little") + b"".join(arrays))]}
+        # What Baum-Welch reads in each round: the classes of the learning texts' windows.
+        at, n = _windows(bounds, learns(table))
+        blob = len(n).to_bytes(8, "little") + n.tobytes() + classes[token[K.spread(at, n)]].astype(np.int16).tobytes()
+        yield {"kind": ["windows"], "bucket": [None], "batch": [batch], "blob": [B.pack(blob)]}
 
     return run
 
@@ -130,54 +155,73 @@ class Parameters:
         return Parameters(first / first.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+def _by_time(classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+    """Classes of sequences sorted by falling length, all first tokens, then all second ones; and where each time begins."""
+    alive = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), side="left")
+    cut = np.concatenate([[0], np.cumsum(alive)])
+    lane = K.spread(np.zeros(len(alive), np.int64), alive)
+    return classes[starts[lane] + np.repeat(np.arange(len(alive)), alive)], cut
+
+
 def expected(classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, p: Parameters):
-    """Expected counts (first, step, emit) of sequences classes[start:start + length], side by side."""
+    """Expected counts (first, step, emit) of sequences classes[start:start + length], side by side.
+
+    In single precision: every state and step is scaled to sum to 1.
+    """
     order = np.argsort(-lengths, kind="stable")
-    starts, lengths = starts[order], lengths[order]
     n_states = len(p.first)
     first, step, emit = np.zeros(n_states), np.zeros((n_states, n_states)), np.zeros((len(p.emit), n_states))
     if not len(lengths):
         return first, step, emit
-    alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-    alphas, scales, a = [], [], None
-    for t, n in enumerate(alive):
-        a = (np.broadcast_to(p.first, (n, n_states)) if t == 0 else a[:n] @ p.step) * p.emit[classes[starts[:n] + t]]
-        s = a.sum(axis=1, keepdims=True)
-        a = a / s
-        alphas.append(a), scales.append(s)
-    beta, seen, share = np.ones((0, n_states)), [], []
-    for t in range(len(alive) - 1, -1, -1):
-        n = alive[t]
-        beta = np.concatenate([beta, np.ones((n - len(beta), n_states))])
-        c = classes[starts[:n] + t]
-        g = alphas[t] * beta
-        g /= g.sum(axis=1, keepdims=True)
-        seen.append(c), share.append(g)
+    seen, cut = _by_time(classes, starts[order], lengths[order])
+    out = p.emit.astype(np.float32)[seen]
+    step32, ones = p.step.astype(np.float32), np.ones(n_states, np.float32)
+    alpha, scale = np.empty_like(out), np.empty((len(seen), 1), np.float32)
+    for t in range(len(cut) - 1):
+        i, j = cut[t], cut[t + 1]
+        a = alpha[i:j]
         if t:
-            ahead = p.emit[c] * beta / scales[t]
-            step += p.step * (alphas[t - 1][:n].T @ ahead)
-            beta = ahead @ p.step.T
+            np.matmul(alpha[cut[t - 1] : cut[t - 1] + j - i], step32, out=a)
         else:
-            first += g.sum(axis=0)
-    seen, share = np.concatenate(seen), np.concatenate(share)
+            a[:] = p.first
+        a *= out[i:j]
+        s = scale[i:j]
+        s[:, 0] = a @ ones
+        a /= s
+    beta = np.ones((0, n_states), np.float32)
+    for t in range(len(cut) - 2, -1, -1):
+        i, j = cut[t], cut[t + 1]
+        if j - i > len(beta):
+            beta = np.concatenate([beta, np.ones((j - i - len(beta), n_states), np.float32)])
+        if t:
+            ahead = out[i:j]
+            ahead *= beta
+            ahead /= scale[i:j]
+            before = cut[t - 1]
+            step += alpha[before : before + j - i].T @ ahead
+        alpha[i:j] *= beta
+        if t:
+            beta = ahead @ step32.T
+    first += alpha[: cut[1]].sum(axis=0)
     for s in range(n_states):
-        emit[:, s] = np.bincount(seen, share[:, s], minlength=len(p.emit))
-    return first, step, emit
+        emit[:, s] = np.bincount(seen, alpha[:, s], minlength=len(p.emit))
+    return first, step * p.step, emit
 
 
 def log_likelihoods(classes: np.ndarray, bounds: np.ndarray, p: Parameters) -> np.ndarray:
     """log10 of each text's probability of its classes: the scaled forward recursion, texts side by side."""
     lengths = np.diff(bounds)
     order = np.argsort(-lengths, kind="stable")
-    starts, sizes = bounds[:-1][order], lengths[order]
-    out, a = np.zeros(len(order)), None
-    for t, n in enumerate(np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), side="left")):
-        a = (np.broadcast_to(p.first, (n, len(p.first))) if t == 0 else a[:n] @ p.step) * p.emit[classes[starts[:n] + t]]
-        s = a.sum(axis=1)
-        out[:n] += np.log10(s)
-        a = a / s[:, None]
+    seen, cut = _by_time(classes, bounds[:-1][order], lengths[order])
+    scale, ones, a = np.empty(len(seen)), np.ones(len(p.first)), None
+    for t in range(len(cut) - 1):
+        i, j = cut[t], cut[t + 1]
+        a = (np.broadcast_to(p.first, (j - i, len(p.first))) if t == 0 else a[: j - i] @ p.step) * p.emit[seen[i:j]]
+        scale[i:j] = s = a @ ones
+        a /= s[:, None]
+    lane = K.spread(np.zeros(len(cut) - 1, np.int64), np.diff(cut))
     back = np.empty(len(order))
-    back[order] = out
+    back[order] = np.bincount(lane, np.log10(scale), minlength=len(order))
     return back
 
 
@@ -195,7 +239,9 @@ class Model:
         self.text_col = text_col
         rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), F.coalesce(held_out, F.lit(False)).alias("held_out"))
         self.batches = batches = B.Batches(rows, text_col, ws, **sizes)
-        asked = batches.ask(_ask(text_col, batches.buckets), B.ASK_REPEATED)
+        first = ws.write("first", batches.ask(_ask(text_col, batches.buckets), "kind string, bucket long, batch long, blob binary"), "kind")
+        self.windows = first.where("kind = 'windows'").select("blob")
+        asked = first.where("kind = 'words'").select("bucket", "batch", "blob")
         answers = ws.write("counts", B.answer(asked, _count, "kind string, batch long, bucket long, blob binary, class long, n long, v long"), "kind")
         self.counts = answers.where("kind = 'count'").select("batch", "bucket", "blob")
         self.tokens, self.vocabulary = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
@@ -206,23 +252,23 @@ class Model:
             self.parameters = self._round(states)
 
     def _round(self, states: int) -> Parameters:
-        text_col, p = self.text_col, self.parameters
+        p = self.parameters
 
         def run(it):
             first, step, emit = np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES, states))
             for rows in it:
-                for payload in rows.column("payload"):
-                    table = B.from_payload(payload.as_py())
-                    _, classes, token, bounds = read(table, text_col)
-                    at, n = _windows(bounds, learns(table))
-                    for x, y in zip((first, step, emit), expected(classes[token], at, n, p)):
+                for blob in rows.column("blob"):
+                    raw = B.unpack(blob.as_py())
+                    m = int.from_bytes(raw[:8], "little")
+                    n, classes = np.frombuffer(raw, np.int64, m, 8), np.frombuffer(raw[8 + 8 * m :], np.int16)
+                    for x, y in zip((first, step, emit), expected(classes, np.cumsum(n) - n, n, p)):
                         x += y
             some = np.flatnonzero(emit.any(axis=1))
             values = np.concatenate([first[None], step, emit[some]])
             kind = np.concatenate([[-1], np.full(states, -2) - np.arange(states), some])
             yield pa.RecordBatch.from_pydict({"kind": kind, "x": pa.array(list(values), pa.list_(pa.float64()))})
 
-        sums = self.batches.table.select("payload").mapInArrow(run, "kind long, x array<double>")
+        sums = self.windows.mapInArrow(run, "kind long, x array<double>")
         total = sums.groupBy("kind").agg(*(F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(states)))
         first, step, emit = np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES, states))
         for r in total.collect():  # CLASSES + states + 1 rows at most

@@ -5,17 +5,28 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from . import caches
 from . import kernels as K
 
 #: A word is a run of bytes that are none of these; the same set as ``bytes.split()`` uses.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
-_cache: dict[bytes, int] = {}
+
+class _Hashes(dict):
+    """Hashes of words seen; an accelerator only."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = caches.register("words", _Hashes())
 _CACHE_MAX = 300_000
 
 
 def split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     """All words of the texts, and the offsets of each text's words (length: texts + 1)."""
+    caches.use("words")
     parts = [t.split() for t in texts]
     bounds = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) for p in parts], out=bounds[1:])
@@ -23,12 +34,10 @@ def split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hash of each word.  The cache is an accelerator only."""
-    if len(_cache) > _CACHE_MAX:
-        _cache.clear()
-    for w in set(words).difference(_cache):
-        _cache[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_cache.__getitem__, words), np.uint64, len(words))
+    """64-bit hash of each word."""
+    if len(_hashes) > _CACHE_MAX:
+        _hashes.clear()
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
