@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import caches
+
 CAPACITY = 2048
 END = 1
 VOCABULARY = "byte_bpe_50k.json"
@@ -27,7 +29,7 @@ VOCABULARY = "byte_bpe_50k.json"
 _CHUNKS = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎]")
 #: Entries of a worker's cache of encoded chunks; it is an accelerator only.
-CACHE = 250_000
+CACHE = 600_000
 
 
 class Encoder:
@@ -41,12 +43,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = caches.register("packing", {})
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        caches.use("packing")
         parts = [None if _OTHER_SPACE.search(t) else _CHUNKS.findall(t) for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
