@@ -93,26 +93,58 @@ def _sets(text_col: str, n: int):
     return run
 
 
-def _sketches(it):
-    for rows in it:
+def _sketches(text_col: str, n: int):
+    """Cells of 4 bits, two a byte: sums of tokens' hashes; as many cells as half the tokens, up to a power of two."""
+
+    def run(batch: int, table: pa.Table, wanted: pa.Table):
+        at = np.unique(wanted.column("row").to_numpy() & ((1 << _ROW_BITS) - 1))
+        if not len(at):
+            return
+        texts = table.column(text_col).cast(pa.binary()).take(pa.array(at))
+        values, bounds = words.shingle_sets([x or b"" for x in texts.to_pylist()], n)
         out = []
-        for tokens in rows.column("tokens"):
-            h = K.mix(tokens.values.to_numpy().view(np.uint64))
-            cells = 1 << max(6, int(len(h) // 2).bit_length())
-            out.append(np.bincount((h % np.uint64(cells)).astype(np.int64), ((h >> np.uint64(40)) & np.uint64(255)).astype(float), cells).astype(np.int64).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_pydict({"row": rows.column("row"), "n": pa.compute.list_value_length(rows.column("tokens")).cast(pa.int64()), "sketch": pa.array(out, pa.binary())})
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            h = K.mix(values[i:j])
+            cells = 1 << max(6, ((j - i) // 2).bit_length())
+            cell = np.bincount((h % np.uint64(cells)).astype(np.int64), (h >> np.uint64(60)).astype(float), cells).astype(np.int64) & 15
+            out.append((cell[::2] * 16 + cell[1::2]).astype(np.uint8).tobytes())
+        yield {"row": (batch << _ROW_BITS) + at, "n": np.diff(bounds), "sketch": pa.array(out, pa.binary())}
+
+    return run
 
 
 def fold(sketch: bytes, cells: int) -> np.ndarray:
     """A sketch with fewer cells: those that fall together are added."""
-    return np.frombuffer(sketch, np.uint8).reshape(-1, cells).sum(axis=0, dtype=np.uint8)
+    raw = np.frombuffer(sketch, np.uint8)
+    cell = np.empty(2 * len(raw), np.uint8)
+    cell[::2], cell[1::2] = raw >> 4, raw & 15
+    return cell.reshape(-1, cells).sum(axis=0, dtype=np.uint8) & 15
+
+
+def _most(num: int, den: int, sizes):
+    """Largest symmetric difference of two sets that link, by the sum of their sizes."""
+    return (den - num) * sizes // (den + num)
+
+
+def _near(num: int, den: int):
+    """Pairs that could link by the lower bound that their sketches give."""
+
+    def run(it):
+        for rows in it:
+            keep = []
+            for n, m, x, y in zip(*(rows.column(c).to_pylist() for c in ("n", "m", "x", "y"))):
+                most, cells = _most(num, den, n + m), 2 * min(len(x), len(y))
+                keep.append(abs(n - m) <= most and int(np.count_nonzero(fold(x, cells) != fold(y, cells))) <= most)
+            yield rows.select(["b", "a"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _could_link(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         row, comp, size, block = (table.column(c).to_numpy() for c in ("row", "comp", "n", "block"))
         raw = table.column("sketch").to_pylist()
-        cells = min(map(len, raw))
+        cells = 2 * min(map(len, raw))
         cell = np.stack([fold(x, cells) for x in raw])
         left, right = block == table.column("bi")[0].as_py(), block == table.column("bj")[0].as_py()
         a, b = np.flatnonzero(left), np.flatnonzero(right)
@@ -120,7 +152,7 @@ def _could_link(num: int, den: int):
         step = max(1, (8 << 20) // (cells * max(1, len(b))))
         for i in range(0, len(a), step):
             x = a[i : i + step]
-            most = (den - num) * (size[x][:, None] + size[b][None, :]) // (den + num)
+            most = _most(num, den, size[x][:, None] + size[b][None, :])
             ok = (comp[x][:, None] != comp[b][None, :]) & (row[x][:, None] < row[b][None, :] if left is right or (left == right).all() else True) & (np.abs(size[x][:, None] - size[b][None, :]) <= most)
             if ok.any():
                 ok &= (cell[x][:, None, :] != cell[b][None, :, :]).sum(axis=2) <= most
@@ -152,27 +184,35 @@ class JaccardJoin:
         stars = sigs.groupBy("sig").agg(F.min("row").alias("a"), F.count("*").alias("c")).where("c > 1")
         pairs = ws.write("pairs", sigs.withColumnRenamed("row", "b").join(stars, "sig").where("a <> b").select("a", "b").distinct())
         wanted = sigs.join(stars.select("sig"), "sig", "left_semi").select("row").distinct().withColumn("batch", F.shiftright("row", _ROW_BITS))
-        self.sets = ws.write("sets", batches.give(wanted, _sets(text_col, n), "row long, tokens array<long>"))
-        links = ws.write("links", self._verified(pairs))
-        labels = components(links, ws, "near")
-        more = ws.write("more", self._verified(ws.write("across", self._across(labels))))
+        self.sketches = ws.write("sketches", batches.give(wanted, _sketches(text_col, n), "row long, n long, sketch binary"))
+        self._read_sets = _sets(text_col, n)
+        links = self._verified(ws.write("near", self._possible(pairs)), "links")
+        labels = components(links, ws, "parts")
+        more = self._verified(ws.write("across", self._across(labels)), "more")
         if not more.isEmpty():
             labels = components(links.union(more), ws, "all")
         self.links, self.labels = links.union(more), labels
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        x = self.sets.select(F.col("row").alias("a"), F.col("tokens").alias("x"))
-        y = self.sets.select(F.col("row").alias("b"), F.col("tokens").alias("y"))
+    def _possible(self, pairs: DataFrame) -> DataFrame:
+        x = self.sketches.select(F.col("row").alias("a"), "n", F.col("sketch").alias("x"))
+        y = self.sketches.select(F.col("row").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+        return pairs.join(x, "a").join(y, "b").mapInArrow(_near(self.num, self.den), "b long, a long").select("a", "b")
+
+    def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        rows = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().withColumn("batch", F.shiftright("row", _ROW_BITS))
+        sets = self.ws.write(f"{name}_sets", self.batches.give(rows, self._read_sets, "row long, tokens array<long>"))
+        x = sets.select(F.col("row").alias("a"), F.col("tokens").alias("x"))
+        y = sets.select(F.col("row").alias("b"), F.col("tokens").alias("y"))
         both = pairs.join(x, "a").join(y, "b")
         meet = F.size(F.array_intersect("x", "y")).cast("long")
         both = both.select("a", "b", meet.alias("i"), (F.size("x") + F.size("y")).cast("long").alias("s"))
-        return both.where(F.col("i") * self.den >= (F.col("s") - F.col("i")) * self.num).select("a", "b")
+        found = both.where(F.col("i") * self.den >= (F.col("s") - F.col("i")) * self.num).select("a", "b")
+        return self.ws.write(name, found)
 
     def _across(self, labels: DataFrame) -> DataFrame:
         rows = self.sigs.join(labels.withColumnRenamed("node", "row"), "row", "left").select("sig", "row", F.coalesce("root", "row").alias("comp"))
         mixed = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y and c > 2").select("sig", F.expr(f"(c + {BLOCK - 1}) div {BLOCK}").alias("nb"))
-        sketches = self.sets.mapInArrow(_sketches, "row long, n long, sketch binary")
-        rows = rows.join(mixed, "sig").join(sketches, "row").withColumn("block", F.expr("pmod(xxhash64(row), nb)"))
+        rows = rows.join(mixed, "sig").join(self.sketches, "row").withColumn("block", F.expr("pmod(xxhash64(row), nb)"))
         rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, nb - 1)"))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
         found = rows.select("sig", "bi", "bj", "row", "comp", "n", "sketch", "block").groupBy("sig", "bi", "bj").applyInArrow(_could_link(self.num, self.den), "a long, b long")
         return found.distinct()
@@ -207,3 +247,25 @@ def _ddl(schema) -> str:
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return JaccardJoin(docs, n=3, num=90, den=100).rows().select("doc_id", "n_shingles", "component_id")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, list_slice(words, i, i + 2) AS k
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, CASE WHEN len(words) > 0 THEN 2 ELSE 1 END))) AS i FROM w)),
+n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (k) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+edges AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(r.least, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a) r USING (doc_id)
+"""

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from basepack.llm import decontam, jaccard, langid, packing, suffix_dedup
 from basepack.workspace import Workspace
 
+_used: list[Workspace] = []
+
+
+def _released(ws: Workspace | None = None) -> None:
+    """Deletes the working tables of earlier stages, whose results are written, and keeps ``ws`` in mind."""
+    while _used:
+        _used.pop().close()
+    if ws:
+        _used.append(ws)
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned stay; those without a letter go."""
@@ -18,17 +28,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of a 5-word-shingle similarity of 0.8 or more stays, that of the smallest doc_id."""
-    return jaccard.JaccardJoin(docs, n=5, num=80, den=100).kept()
+    _released()
+    join = jaccard.JaccardJoin(docs, n=5, num=80, den=100)
+    _released(join.ws)
+    return join.kept()
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes go where a document of a smaller doc_id has them; n_chars follows the text."""
-    kept = suffix_dedup.dedup(suffix_dedup.repeats(docs))
+    _released()
+    found = suffix_dedup.repeats(docs)
+    _released(found.ws)
+    kept = suffix_dedup.dedup(found)
     return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    _released()
     return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
