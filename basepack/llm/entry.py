@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import jaccard, quality, substring_dedup, suffix_dedup
 from .decontam import op7_smith_waterman_decontamination
 from .hmm import op9_hmm_language_model
 from .jaccard import op3_ngram_jaccard_join
@@ -32,4 +32,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rule_ledger": quality.SQL}
+    return {
+        "op1_fm_index_substring_dedup": substring_dedup.SQL,
+        "op2_suffix_array_dedup": suffix_dedup.SQL,
+        "op3_ngram_jaccard_join": jaccard.SQL,
+        "op6_quality_rule_ledger": quality.SQL,
+    }

@@ -197,3 +197,24 @@ def dedup(found: Repeats, text_col: str = "text") -> DataFrame:
 def op1_fm_index_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return digests(repeats(docs))
+
+
+SQL = rf"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+  SELECT doc_id, i, list_slice(words, i, i + {WINDOW - 1}) AS k
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w)),
+r AS (
+  SELECT doc_id, i FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+p AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS i FROM r),
+g AS (
+  SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
+u AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+kept AS (
+  SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.i) AS t FROM u ANTI JOIN p ON p.doc_id = u.doc_id AND p.i = u.i GROUP BY u.doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

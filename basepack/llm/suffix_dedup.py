@@ -168,3 +168,32 @@ def dedup(found: Repeats, text_col: str = "text") -> DataFrame:
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return digests(repeats(docs))
+
+
+SQL = f"""
+WITH b AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, {2 * WINDOW}) AS k
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {WINDOW - 1})) AS i FROM b)),
+m AS (
+  SELECT k, min(doc_id) AS least FROM s GROUP BY k HAVING min(doc_id) < max(doc_id)),
+r AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {WINDOW} THEN 0 ELSE 1 END AS new
+  FROM s JOIN m USING (k) WHERE least < doc_id),
+spans AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + {WINDOW} AS z
+  FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r) GROUP BY doc_id, run),
+cuts AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans
+  UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2, NULL FROM b),
+pieces AS (
+  SELECT c.doc_id, a, substr(h, (2 * coalesce(before, l.z, 0) + 1)::BIGINT, (2 * (a - coalesce(before, l.z, 0)))::BIGINT) AS piece
+  FROM cuts c JOIN b USING (doc_id) LEFT JOIN (SELECT doc_id, max(z) AS z FROM spans GROUP BY doc_id) l ON l.doc_id = c.doc_id),
+kept AS (
+  SELECT doc_id, sha256(unhex(string_agg(piece, '' ORDER BY a, length(piece)))) AS kept_sha256 FROM pieces GROUP BY doc_id),
+gone AS (
+  SELECT doc_id, sum(z - a) AS n, count(*) AS c FROM spans GROUP BY doc_id)
+SELECT b.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone.n, 0)::BIGINT AS n_removed, coalesce(gone.c, 0)::BIGINT AS n_spans, kept_sha256
+FROM b JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
