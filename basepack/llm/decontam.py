@@ -1,18 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Of each few neighbouring n-grams of an item, the one that the fewest documents contain is a seed;
-rarity is relative, so an item that leaked into a third of all documents keeps its seeds.  Documents
-that hold a seed are aligned with its item around the place the seed suggests.  An item leaked if
-the local alignment (match 1, mismatch and gap -1, on words without case and punctuation) scores
-THRESHOLD of its length or more; edited copies score less than 1, unrelated text far less.
-
-Items go to all tasks in blocks of BLOCK_BYTES of text, one pass over the documents for each block.
-Null and empty texts, and items without words, match nothing.  Items shorter than the n-gram are
-one seed.  Repeated doc_ids or item_ids give rows of their own, equal rows once.
+"""Benchmark decontamination: n-gram seeds that lose no leak, then Smith-Waterman alignment.
+
+An item leaked if the local alignment (match 1, mismatch and gap -1, on words without case and
+punctuation) scores THRESHOLD of its length or more; edited copies score less than 1, unrelated text
+far less.  An alignment of that score leaves at least ``need`` n-grams of the item intact, at places
+of their own (see ``intact``).  So all but need - 1 of an item's n-grams are seeds, those that the
+most documents hold being left out: every leak holds a seed.  Documents that hold one are aligned
+with its item around the place the seed suggests, if ``need`` n-grams of the item are there.
+
+Items go to all tasks in blocks of BLOCK_BYTES of text, two passes over the documents for each block.
+Null and empty texts, and items without words, match nothing.  Repeated doc_ids or item_ids give
+rows of their own, equal rows once.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
 import numpy as np
@@ -23,9 +25,8 @@ from pyspark.sql import functions as F
 from ..workspace import Workspace
 from . import kernels as K
 
+#: Longest n-grams; an item has the longest of which each of its leaks holds one.
 GRAM = 3
-#: Neighbouring n-grams of an item of which the rarest is a seed.
-STRIDE = 4
 THRESHOLD = 0.5
 BLOCK_BYTES = 8 << 20
 _FOLD = bytes.maketrans(string.ascii_uppercase.encode() + string.punctuation.encode(), string.ascii_lowercase.encode() + b" " * len(string.punctuation))
@@ -35,23 +36,41 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
+def least_score(m: int, threshold: float) -> int:
+    """Score from which an item of m words leaked."""
+    return max(1, math.ceil(threshold * m))
+
+
+def intact(m: int, score: int, n: int) -> int:
+    """n-grams of an item of m words, at least, that an alignment of ``score`` leaves intact.
+
+    With M matches and M - score errors or fewer, the matches form M - score + 1 runs at most, and
+    a run of r holds r - n + 1 n-grams or more; linear in M, which is between the score and m.
+    """
+    return min(score - n + 1, m - (n - 1) * (m - score + 1))
+
+
 class Items:
     """A block of benchmark items: word numbers, and the n-grams with their places."""
 
-    def __init__(self, rows: list[tuple[int, list[bytes]]], gram: int):
-        self.gram = gram
+    def __init__(self, rows: list[tuple[int, list[bytes]]], gram: int, threshold: float = THRESHOLD):
         self.ids = [i for i, _ in rows]
         self.number: dict[bytes, int] = {}
         self.words = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in ws], np.int64) for _, ws in rows]
-        item, at, key = [], [], []
-        for i, w in enumerate(self.words):
-            n = min(gram, len(w))
-            g = self._keys(w, n)
+        self.least = [least_score(len(w), threshold) for w in self.words]
+        item, at, key, grams, need = [], [], [], [], []
+        for i, (w, s) in enumerate(zip(self.words, self.least)):
+            n = max([n for n in range(1, gram + 1) if intact(len(w), s, n) > 0], default=1)
+            g = self._keys(w, min(n, len(w)))
+            grams.append(n), need.append(intact(len(w), s, n))
             item.append(np.full(len(g), i)), at.append(np.arange(len(g))), key.append(g)
         e = np.empty(0, np.int64)
         self.item, self.at, self.key = np.concatenate([e, *item]), np.concatenate([e, *at]), np.concatenate([np.empty(0, np.uint64), *key])
-        self.lengths = np.unique([min(gram, len(w)) for w in self.words if len(w)])
-        self.distinct = np.unique(self.key)
+        self.lengths, self.need = np.unique(grams), np.array(need, np.int64)
+        self.distinct, number = np.unique(self.key, return_inverse=True)
+        bounds = np.searchsorted(self.item, np.arange(len(self.words) + 1)).tolist()
+        #: Of each item, the indices in ``distinct`` of its n-grams.
+        self.grams = [number[i:j].tolist() for i, j in zip(bounds, bounds[1:])]
 
     @staticmethod
     def _keys(words: np.ndarray, n: int) -> np.ndarray:
@@ -80,12 +99,14 @@ class Items:
         return np.concatenate([e, *places]), np.concatenate([e, *index])
 
     def seeds(self, documents: np.ndarray) -> np.ndarray:
-        """Rows of the n-gram table that are seeds: the rarest of each STRIDE neighbours, first on ties."""
-        order = np.lexsort((self.at, documents[np.searchsorted(self.distinct, self.key)], self.at // STRIDE, self.item))
-        group = np.stack([self.item[order], self.at[order] // STRIDE])
-        head = np.ones(len(order), bool)
-        head[1:] = (group[:, 1:] != group[:, :-1]).any(axis=0)
-        return np.sort(order[head])
+        """Rows of the n-gram table that are seeds: all of an item but the need - 1 that the most documents hold."""
+        order = np.lexsort((self.at, -documents[np.searchsorted(self.distinct, self.key)], self.item))
+        place = np.arange(len(order)) - np.searchsorted(self.item, self.item)
+        return np.sort(order[place >= self.need[self.item] - 1])
+
+    def room(self, item: int) -> int:
+        """Words by which the places that two n-grams of one leak suggest can differ, at most."""
+        return len(self.words[item]) - self.least[item]
 
 
 def smith_waterman(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,13 +139,22 @@ def _candidates(items: Items, item: np.ndarray, start: np.ndarray):
     return item[head], start[head], start[np.append(head[1:], len(item)) - 1]
 
 
-def _align(items: Items, found: list, threshold: float):
-    """Leaks among (document, words, item, first start, last start), as (document, item, score, end)."""
+def _passages(items: Items, words: np.ndarray, place: np.ndarray, index: np.ndarray, candidates):
+    """(item, place, words) of the candidates' passages that hold as many n-grams of the item as a leak does."""
+    by = np.argsort(place, kind="stable")
+    place, index = place[by], index[by]
+    for item, first, last in zip(*(x.tolist() for x in candidates)):
+        at, end = max(0, first - items.room(item)), last + len(items.words[item]) + items.room(item)
+        held = set(index[np.searchsorted(place, at) : np.searchsorted(place, end)].tolist())
+        if sum(g in held for g in items.grams[item]) >= items.need[item]:
+            yield item, at, words[at:end]
+
+
+def _align(items: Items, found: list):
+    """Leaks among (document, item, place, passage), as (document, item, score, end)."""
     by: dict[int, list] = {}
-    for doc, words, item, first, last in found:
-        m = len(items.words[item])
-        pad = m // 2 + 2
-        by.setdefault(item, []).append((doc, max(0, first - pad), words[max(0, first - pad) : last + m + pad]))
+    for doc, item, at, passage in found:
+        by.setdefault(item, []).append((doc, at, passage))
     for item, rows in by.items():
         w = items.words[item]
         rows.sort(key=lambda r: len(r[2]))
@@ -137,7 +167,7 @@ def _align(items: Items, found: list, threshold: float):
             for k, r in enumerate(rows[i:j]):
                 block[k, : len(r[2])] = r[2]
             for (doc, at, _), score, end in zip(rows[i:j], *smith_waterman(w, block)):
-                if score >= threshold * len(w):
+                if score >= items.least[item]:
                     yield doc, item, float(score) / len(w), int(at + end)
             i = j
 
@@ -152,13 +182,13 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     out = None
     for b in range(blocks):
         rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # a block of bounded size
-        items = Items([(r.item_id, w) for r in rows if (w := tokens(r.text))], gram)
-        part = _block(docs, items, threshold)
+        items = Items([(r.item_id, w) for r in rows if (w := tokens(r.text))], gram, threshold)
+        part = _block(docs, items)
         out = part if out is None else out.union(part)
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "end_word")).alias("m")).select("doc_id", "item_id", "m.score", "m.end_word")
 
 
-def _block(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
+def _block(docs: DataFrame, items: Items) -> DataFrame:
     def count(it):
         n = np.zeros(len(items.distinct), np.int64)
         for rows in it:
@@ -175,8 +205,7 @@ def _block(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
     order = np.argsort(items.key[chosen], kind="stable")
     chosen = chosen[order]
     keys = items.key[chosen]
-    distinct = np.unique(keys)
-    lo, hi = np.searchsorted(keys, distinct), np.searchsorted(keys, distinct, side="right")
+    lo, hi = np.searchsorted(keys, items.distinct), np.searchsorted(keys, items.distinct, side="right")
 
     def find(it):
         for rows in it:
@@ -185,12 +214,12 @@ def _block(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                 found = []
                 for doc, t in zip(ids[i : i + 512], texts.slice(i, 512)):
                     words = items.number_of(tokens(t.as_py()))
-                    place, index = items.hits(words, distinct)
+                    place, index = items.hits(words, items.distinct)
                     uses = hi[index] - lo[index]
                     use = chosen[K.spread(lo[index], uses)]
                     start = np.repeat(place, uses) - items.at[use]
-                    found += [(doc, words, *c) for c in zip(*(x.tolist() for x in _candidates(items, items.item[use], start)))]
-                got = list(_align(items, found, threshold))
+                    found += [(doc, *p) for p in _passages(items, words, place, index, _candidates(items, items.item[use], start))]
+                got = list(_align(items, found))
                 if got:
                     d, k, s, e = zip(*got)
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "item_id": pa.array([items.ids[x] for x in k], pa.int64()), "score": s, "end_word": pa.array(e, pa.int64())})

@@ -74,3 +74,37 @@ def test_empty(spark, frame, docs):
     assert decontam.leaks(frame(docs), bench).collect() == []
     assert decontam.leaks(frame([]), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).collect() == []
     assert decontam.decontaminated(frame([(None, "x")]), bench).count() == 1
+
+
+def test_only_edited_copies(spark, frame):
+    """Items that leaked as edited copies only, one of them as an exact copy also; against brute force."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 6)))
+    items = [(k, [word() for _ in range(m)]) for k, m in enumerate([24, 24, 24, 8, 5, 2, 33, 40])]
+    every = lambda ws, n, at, to: [y for i, w in enumerate(ws) for y in (to(w) if i % n == at else [w])]
+    replaced, doubled, dropped = lambda w: [word()], lambda w: [w, word()], lambda w: []
+    rows = []
+    for k, ws in items:
+        edits = [every(ws, 6, 3, replaced), every(ws, 4, 2, replaced), every(ws, 3, 2, replaced), every(ws, 2, 1, doubled), every(ws, 5, 2, dropped)]
+        rows += [(10 * k + n, " ".join([word() for _ in range(30)] + e + [word() for _ in range(30)])) for n, e in enumerate(edits)]
+    rows.append((7, " ".join(items[0][1])))
+    items = [(k, " ".join(ws)) for k, ws in items]
+    expected = brute(rows, items)
+    assert {(0, 0), (10, 1), (20, 2), (23, 2), (32, 3)} <= expected  # replaced words, words put in between, two of three left
+    got = decontam.leaks(frame(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == expected
+
+
+def test_seeds_lose_no_leak():
+    """Small alphabets, all thresholds: where the score is reached, a seed and the n-grams needed are in the text."""
+    rng = random.Random(2)
+    for n in range(600):
+        a = [b"%d" % rng.randrange(9) for _ in range(rng.randint(1, 14))]
+        b = [x for w in a for x in rng.choice([[w], [w], [w], [b"x"], [], [w, b"y"]])]
+        items = decontam.Items([(0, a)], 3, threshold := rng.choice([0.3, 0.5, 0.7, 1.0]))
+        if smith_waterman(a, b) >= threshold * len(a):
+            _, index = items.hits(items.number_of(b), items.distinct)
+            held = set(index.tolist())
+            seeds = items.seeds(np.array([rng.randrange(3) for _ in items.distinct]))
+            assert sum(g in held for g in items.grams[0]) >= items.need[0] > 0
+            assert held & {items.grams[0][s] for s in seeds.tolist()}
