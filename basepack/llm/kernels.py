@@ -61,6 +61,8 @@ def anchored_runs(grams: np.ndarray, bounds: np.ndarray, window: int, k: int):
     within a document.  Equal windows choose the k-gram at the same offset, so a window's
     anchor hash depends on its content only.
     """
+    if len(grams) > MAX_BLOCK:
+        raise ValueError(f"a block has at most {MAX_BLOCK} k-grams")
     empty = np.empty(0, np.int64)
     w = window - k + 1
     if len(grams) < w:

@@ -55,18 +55,32 @@ class Shard:
     start: np.ndarray
 
 
-def _anchors(block: Block, window: int, k: int):
-    """(first window, last window, anchor) of all runs, from parts of whole documents that bound the memory."""
-    ends, parts, at = block.bounds, [], 0
-    while at < len(ends) - 1:
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PART_SYMBOLS, side="right")) - 1)
-        base = ends[at]
-        grams = K.gram_hashes(block.symbols(int(base), int(ends[to])), k)
-        first, last, place = K.anchored_runs(grams, ends[at : to + 1] - base, window, k)
-        parts.append((first + base, last + base, grams[place]))
+def _parts(bounds: np.ndarray, window: int) -> Iterator[np.ndarray]:
+    """Bounds of the parts: whole documents, and of a longer document pieces that overlap by window - 1 symbols."""
+    at = 0
+    while at < len(bounds) - 1:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PART_SYMBOLS, side="right")) - 1)
+        if bounds[to] - bounds[at] <= PART_SYMBOLS:
+            yield bounds[at : to + 1]
+        else:
+            for i in range(int(bounds[at]), int(bounds[to]) - window + 1, PART_SYMBOLS):
+                yield np.array([i, min(i + PART_SYMBOLS + window - 1, int(bounds[to]))])
         at = to
+
+
+def _anchors(block: Block, window: int, k: int):
+    """(first window, last window, anchor) of all runs, from parts that bound the memory; cuts leave no trace."""
     empty = np.empty(0, np.int64)
-    return tuple(np.concatenate([e, *(p[i] for p in parts)]) for i, e in enumerate((empty, empty, empty.astype(np.uint64))))
+    parts = [(empty, empty, empty, empty.astype(np.uint64))]
+    for bounds in _parts(block.bounds, window):
+        base = bounds[0]
+        grams = K.gram_hashes(block.symbols(int(base), int(bounds[-1])), k)
+        first, last, place = K.anchored_runs(grams, bounds - base, window, k)
+        parts.append((first + base, last + base, place + base, grams[place]))
+    first, last, place, anchor = (np.concatenate(x) for x in zip(*parts))
+    new = np.ones(len(first) + 1, bool)
+    new[1:-1] = (first[1:] != last[:-1] + 1) | (place[1:] != place[:-1])
+    return first[new[:-1]], last[new[1:]], anchor[new[:-1]]
 
 
 def _pack(arrays: list[np.ndarray], data: bytes) -> bytes:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from basepack.llm import kernels as K
-from basepack.llm import substring_dedup, suffix_dedup
+from basepack.llm import segments, substring_dedup, suffix_dedup
 
 SIZES = [{}, {"hot": 0}, {"hot": 0, "batch_bytes": 2000, "bucket_bytes": 3000, "shard_bytes": 1000}, {"batch_bytes": 500, "bucket_bytes": 3000, "shard_bytes": 500}]
 
@@ -88,3 +88,20 @@ def test_wavelet_ranks():
     for c in range(11):
         start = w.walk(np.array([c]), np.array([0]))[0]
         assert np.array_equal(w.walk(np.full(501, c), at) - start, np.concatenate([[0], np.cumsum(x == c)]))
+
+
+@pytest.mark.parametrize("window, k", [(50, 20), (20, 6)])
+def test_anchors_of_texts_longer_than_positions_reach(monkeypatch, window, k):
+    """With 12 bits for positions instead of 26: long texts have the anchors that they have with 26."""
+    rng = np.random.default_rng(4)
+    sizes = [300, 30_000, 10, 900, 5_000, 0, 1_000, 1_049, 12_000]
+    x = rng.integers(0, 1 << 63, sum(sizes)).astype(np.uint64)
+    x[20_000:20_600], x[9_000:11_000] = x[:600], x[8_000]
+    block = segments.Block(lambda i, j: x[i:j], np.concatenate([[0], np.cumsum(sizes)]), b"", None, None)
+    expected = segments._anchors(block, window, k)
+    monkeypatch.setattr(K, "_POS_MASK", np.uint64((1 << 12) - 1))
+    monkeypatch.setattr(K, "MAX_BLOCK", 1 << 12)
+    monkeypatch.setattr(segments, "PART_SYMBOLS", 1000)
+    assert all(np.array_equal(a, b) for a, b in zip(segments._anchors(block, window, k), expected))
+    with pytest.raises(ValueError):
+        K.anchored_runs(x[: (1 << 12) + 1], np.array([0, 1 << 12]), window, k)
