@@ -2,7 +2,7 @@
 
 A shard's segments are concatenated and their suffixes sorted by doubling ranks.  In suffix order,
 the previous and the next suffix of a smaller document are a suffix's best earlier matches; the
-larger of the two common prefixes is its longest previous factor (measured up to DEPTH bytes).
+larger of the two common prefixes is its longest previous factor (measured beyond the window).
 Where it reaches the window, the window's bytes go.
 
 Null and empty texts have no bytes.  Rows with equal doc_id never remove from each other; a null
@@ -23,8 +23,6 @@ from .segments import Block, Repeats, Shard
 
 WINDOW = 50
 GRAM = 20
-#: Bytes to which common prefixes are measured.
-DEPTH = 64
 
 _TABLE = K.mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -40,15 +38,20 @@ def read_bytes(text_col: str):
     return run
 
 
-def suffix_ranks(x: np.ndarray) -> dict[int, np.ndarray]:
-    """Ranks of all positions by their next 8, 16, 32 and 64 bytes; zeros follow the end."""
+def depth_of(window: int) -> int:
+    """Bytes to which suffixes are sorted: a power of two above the window."""
+    return max(16, 1 << window.bit_length())
+
+
+def suffix_ranks(x: np.ndarray, depth: int) -> dict[int, np.ndarray]:
+    """Ranks of all positions by their next 8, 16, 32, ... and ``depth`` bytes; zeros follow the end."""
     padded = np.concatenate([x, np.zeros(8, np.uint8)]).astype(np.uint64)
     key, span = padded, 1
     while span < 8:
         key = (key[:-span] << np.uint64(8 * span)) | key[span:]
         span *= 2
     out = {8: K.ranks(key[: len(x)])}
-    while span < DEPTH:
+    while span < depth:
         r = out[span]
         key = r * np.int64(len(r) + 2)
         key[:-span] += r[span:] + np.int64(1)
@@ -58,9 +61,9 @@ def suffix_ranks(x: np.ndarray) -> dict[int, np.ndarray]:
 
 
 def common_prefixes(rank: dict[int, np.ndarray], x: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Common prefix of the suffixes at p and q, up to 63 bytes."""
+    """Common prefix of the suffixes at p and q, up to a byte less than the ranks' depth."""
     p, q, out, n = p.copy(), q.copy(), np.zeros(len(p), np.int64), len(x)
-    for span in (32, 16, 8):
+    for span in sorted(rank, reverse=True)[1:]:
         inside = np.maximum(p, q) < n
         same = inside.copy()
         same[inside] = rank[span][p[inside]] == rank[span][q[inside]]
@@ -103,8 +106,9 @@ def match(window: int):
         ends = np.cumsum(sizes)
         starts = K.spread(ends - sizes, sizes - window + 1)
         seg = np.repeat(np.arange(len(sizes)), sizes - window + 1)
-        rank = suffix_ranks(x)
-        order = np.argsort(rank[DEPTH][starts], kind="stable")
+        depth = depth_of(window)
+        rank = suffix_ranks(x, depth)
+        order = np.argsort(rank[depth][starts], kind="stable")
         at, owner = starts[order], seg[order]
         value = shard.first[owner]
         lcp = np.zeros(len(at), np.int64)

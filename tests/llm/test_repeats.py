@@ -105,3 +105,24 @@ def test_anchors_of_texts_longer_than_positions_reach(monkeypatch, window, k):
     assert all(np.array_equal(a, b) for a, b in zip(segments._anchors(block, window, k), expected))
     with pytest.raises(ValueError):
         K.anchored_runs(x[: (1 << 12) + 1], np.array([0, 1 << 12]), window, k)
+
+
+@pytest.mark.parametrize("window", [63, 64, 130])
+def test_bytes_of_wider_windows(frame, window):
+    rng = np.random.default_rng(window)
+    text = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    shared = [text(n) for n in (window - 1, window, window + 1, 3 * window)]
+    rows = [(4 * i + k, text(int(rng.integers(0, 90))) + s + text(int(rng.integers(0, 90)))) for i in range(4) for k, s in enumerate(shared)]
+    seen = {}
+    for i, t in rows:
+        for s in range(len(t) - window + 1):
+            seen.setdefault(t[s : s + window], i)
+    expected = []
+    for i, t in rows:
+        m = np.zeros(len(t), bool)
+        for s in range(len(t) - window + 1):
+            if seen[t[s : s + window]] < i:
+                m[s : s + window] = True
+        expected.append((i, len(t), int(m.sum()), len(K.runs_of(m)[0]), hashlib.sha256("".join(c for c, r in zip(t, m) if not r).encode()).hexdigest()))
+    got = suffix_dedup.digests(suffix_dedup.repeats(frame(rows), window=window))
+    assert sorted(map(tuple, got.collect())) == expected
