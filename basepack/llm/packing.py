@@ -6,7 +6,8 @@ as many whole sequences as fit, then the binary digits of what is left.  A worke
 bins of each class; no worker needs to know of another.  A worker's last, partial bin of a class
 falls apart into bins of 2^i pieces, whose fill is a power of two, so no sequence needs padding.
 
-Null and empty texts are the end token alone.  Rows that repeat a doc_id are documents of their own.
+Ids are those of the vocabulary's own tokenizer as it is loaded: special tokens that a text spells
+out, as <|endoftext|>, are one id.  Null and empty texts are the end token alone.  Rows that repeat a doc_id are documents of their own.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = caches.register("packing", {})
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -50,7 +51,8 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         caches.use("packing")
-        parts = [None if _OTHER_SPACE.search(t) else _CHUNKS.findall(t) for t in texts]
+        # A special token ends what stands before it, so white space there is not split as before a word.
+        parts = [None if _OTHER_SPACE.search(t) or any(s in t for s in self.special) else _CHUNKS.findall(t) for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
         new = list({c for p in parts if p for c in p}.difference(self.cache))

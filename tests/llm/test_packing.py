@@ -59,3 +59,17 @@ def test_chunks_are_the_tokenizers(docs):
     encode = packing.Encoder(packing.encoder(packing.VOCABULARY).tokenizer and __import__("public_tokenizers").path(packing.VOCABULARY))
     texts = [t or "" for _, t in docs + SPACES]
     assert encode(texts) == encode._encode(texts)
+
+
+def test_special_tokens_as_an_untouched_tokenizer_has_them():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path(packing.VOCABULARY))
+    special = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert special
+    texts = [x for s in special for x in (s, f"a {s} b", f"a{s}b", f"  {s}\n\n{s} {s}", f"{s}{s} ", f"x\t{s} y", f"{s[:-1]} {s[1:]}", f"a \n{s}  \n b")]
+    texts += [t or "" for _, t in SPACES]
+    got = packing.Encoder(path(packing.VOCABULARY))(texts)
+    for t, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
