@@ -64,7 +64,7 @@ class _Numbers(dict):
 
 
 _classes = caches.register("words", _Classes())
-_CACHE_MAX = 300_000
+_MOST = caches.entries()
 
 
 def _with_ends(values: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +80,7 @@ def _with_ends(values: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.nda
 
 def read(table: pa.Table, text_col: str):
     """(distinct word hashes, their classes, word number of each token, bounds of the texts)."""
-    if len(_classes) > _CACHE_MAX:
-        _classes.clear()
+    caches.bound(_classes, _MOST)
     found, bounds = W.split([t.lower() for t in B.texts_of(table, text_col)])
     number = _Numbers()
     token = np.fromiter(map(number.__getitem__, found), np.int64, len(found))

@@ -25,6 +25,7 @@ from . import batches as B
 from . import kernels as K
 from . import partitions, words
 from .components import components
+from .names import ddl
 
 #: Documents of a signature beyond which it may be left out (if few of a document's are so common).
 HOT = 64
@@ -237,11 +238,7 @@ class JaccardJoin:
             at = np.sort(answers.column("row").to_numpy() & ((1 << _ROW_BITS) - 1))
             yield {c: table.column(c).take(pa.array(at)).combine_chunks() for c in names}
 
-        return self.batches.give(chosen, run, _ddl(self.columns))
-
-
-def _ddl(schema) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        return self.batches.give(chosen, run, ddl(self.columns))
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

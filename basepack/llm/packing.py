@@ -1,20 +1,31 @@
 """Harmonic packing of tokenized documents into fixed-capacity sequences.
 
-Classes are reciprocals of the capacity: class k holds pieces of capacity / k tokens, and its bins
-k pieces each.  Documents may be cut, so each is cut into pieces of the classes k = 1, 2, 4, ...:
-as many whole sequences as fit, then the binary digits of what is left.  A worker fills its own
-bins of each class; no worker needs to know of another.  A worker's last, partial bin of a class
-falls apart into bins of 2^i pieces, whose fill is a power of two, so no sequence needs padding.
+Class k holds pieces of capacity / (k + 1) to capacity / k tokens, and each of its bins k pieces.
+Documents may be cut: whole sequences first, then the largest piece that fills its class exactly
+(capacity // k tokens) and leaves nothing or at least LEAST tokens; what is left at the end, LEAST to
+about 2 LEAST tokens (or a shorter document), goes whole into its own class.  So a document has few
+pieces, a bin rarely more than capacity / LEAST, and padding is what the last pieces lack of their
+classes.  A worker fills its own bins of each class; no worker needs to know of another.  The bins
+that a worker has open at its end, less than one of each class, are poured together: their pieces
+fill common sequences one after another, cut at the borders, and the last sequence is cut into
+powers of two, so none of these needs padding.
 
 Ids are those of the vocabulary's own tokenizer as it is loaded: special tokens that a text spells
-out, as <|endoftext|>, are one id.  Null and empty texts are the end token alone.  Rows that repeat a doc_id are documents of their own.
+out, as <|endoftext|>, are one id.  Null and empty texts are the end token alone.  Rows that repeat
+a doc_id are documents of their own; a null doc_id stays null.  Texts are encoded whole.  An empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,41 +35,68 @@ from . import caches
 
 CAPACITY = 2048
 END = 1
+_END = END.to_bytes(4, "little")
 VOCABULARY = "byte_bpe_50k.json"
 
-#: Splits where the vocabulary's own splitter always splits, for texts whose white space is blanks and line ends.
-_CHUNKS = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎]")
-#: Entries of a worker's cache of encoded chunks; it is an accelerator only.
-CACHE = 600_000
+#: Fewest tokens that a cut leaves behind.
+LEAST = 64
+#: Where the byte-level splitter of the vocabulary cuts a text, as is published with it.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+#: Texts of these characters only are split alike by every Unicode version, white space included.
+_COMMON = re.compile("[\\t-\\r -~\xa1-\u024f\u2010-\u2027]*")
+#: Characters of a block; a text with a block without a blank, or of white space only, may hold a run too long for the fast encoder.
+_BLOCK = 1000
+
+
+def _ranks(vocabulary: str) -> dict[bytes, int] | None:
+    """The vocabulary's tokens and their ids, if merging by the smallest id is what its list of merges says."""
+    with open(vocabulary, encoding="utf-8") as f:
+        found = json.load(f)
+    model, split = found["model"], found.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not plain or found.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    # Bytes that print stand for themselves, the others for the characters from 256 on.
+    printing = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte = {chr(b): b for b in printing} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)).difference(printing)))}
+    added = {t["content"] for t in found.get("added_tokens", ())}
+    ranks = {bytes(map(byte.__getitem__, t)): i for t, i in model["vocab"].items() if t not in added}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    ids = [model["vocab"][a + b] for a, b in merges]
+    complete = len(ids) + 256 == len(ranks) and all(bytes([b]) in ranks for b in range(256))
+    return ranks if complete and all(x < y for x, y in zip(ids, ids[1:])) else None
 
 
 class Encoder:
-    """Token ids of whole texts, as little-endian 32-bit integers."""
+    """Token ids of whole texts, as little-endian 32-bit integers: those that ``tokenizers`` gives.
 
-    def __init__(self, vocabulary: str):
-        import os
+    Texts of common characters go through tiktoken, a faster encoder, with the same vocabulary's
+    ranks; all others, and texts that spell out a special token, through ``tokenizers`` itself.
+    """
 
+    def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = caches.register("packing", {})
+        ranks = _ranks(vocabulary)
+        self.fast = ranks and tiktoken.Encoding(vocabulary, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _exact(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        caches.use("packing")
-        # A special token ends what stands before it, so white space there is not split as before a word.
-        parts = [None if _OTHER_SPACE.search(t) or any(s in t for s in self.special) else _CHUNKS.findall(t) for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = list({c for p in parts if p for c in p}.difference(self.cache))
-        self.cache.update(zip(new, self._encode(new)))
-        get = self.cache.__getitem__
-        return [self._encode([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
+    def _common(self, t: str) -> bool:
+        if not _COMMON.fullmatch(t) or any(s in t for s in self.special):
+            return False
+        return not any(" " not in (block := t[i : i + _BLOCK]) or block.isspace() for i in range(0, len(t) - _BLOCK + 1, _BLOCK))
+
+    def __call__(self, text: str) -> bytes:
+        if self.fast and self._common(text):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).tobytes()
+        return self._exact(text)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -66,8 +104,6 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(name: str) -> Encoder:
     """``name``: a file, or the name of one of the public vocabularies."""
-    import os
-
     if name not in _encoders:
         path = name
         if not os.path.exists(path):
@@ -78,46 +114,60 @@ def encoder(name: str) -> Encoder:
     return _encoders[name]
 
 
+@lru_cache(maxsize=8)
+def cuts(capacity: int, least: int = LEAST) -> list[tuple[tuple[int, int, int], ...]]:
+    """For each rest of fewer tokens than the capacity: (start, length, class) of its pieces."""
+    exact = sorted({capacity // k for k in range(1, capacity + 1)})
+    out: list[tuple] = [()]
+    for n in range(1, capacity):
+        if n <= 2 * least or n in exact:
+            length = n
+        else:
+            length = exact[bisect_right(exact, n - least) - 1]
+        k = capacity // length
+        out.append(((0, length, k), *((s + length, m, c) for s, m, c in out[n - length])))
+    return out
+
+
 class Bins:
-    """One worker's bins: gives (sequence, offset) to pieces, class by class."""
+    """One worker's bins: gives (sequence, offset) to pieces (doc, start, length, tokens, doc_tokens), class by class."""
 
     def __init__(self, worker: int, capacity: int):
-        self.base, self.next, self.capacity = worker << 32, 0, capacity
+        self.sequence, self.capacity = worker << 32, capacity
         self.open: dict[int, list] = {}
 
-    def _sequence(self) -> int:
-        self.next += 1
-        return self.base + self.next - 1
-
-    def add(self, piece: list) -> list[list]:
+    def add(self, k: int, piece: tuple) -> list[tuple]:
         """The pieces of the bin that this piece fills."""
-        held = self.open.setdefault(piece[2], [])
-        held.append(piece)
-        return self._close(piece[2], len(held)) if len(held) * piece[2] == self.capacity else []
-
-    def _close(self, length: int, count: int) -> list[list]:
-        held = self.open[length]
-        out, self.open[length] = held[:count], held[count:]
-        sequence = self._sequence()
-        return [[*p, sequence, i * length] for i, p in enumerate(out)]
-
-    def rest(self) -> Iterator[list]:
-        for length, held in sorted(self.open.items()):
-            while held:
-                yield from self._close(length, 1 << (len(held).bit_length() - 1))
-                held = self.open[length]
-
-
-def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
-    """(start, length) of the pieces of n tokens, longest first."""
-    at = 0
-    while n - at >= capacity:
-        yield at, capacity
-        at += capacity
-    while at < n:
-        length = 1 << ((n - at).bit_length() - 1)
-        yield at, length
-        at += length
+        if k > 1:
+            held = self.open.setdefault(k, [])
+            held.append(piece)
+            if len(held) < k:
+                return []
+            self.open[k] = []
+        else:
+            held = [piece]
+        at, out, sequence = 0, [], self.sequence
+        self.sequence += 1
+        for p in held:
+            out.append((*p, sequence, at))
+            at += p[2]
+        return out
+
+    def rest(self) -> Iterator[tuple]:
+        """The pieces of all open bins, poured into common sequences that need no padding."""
+        pieces = [p for _, held in sorted(self.open.items()) for p in held]
+        self.open.clear()
+        left, room, at = sum(p[2] for p in pieces), 0, 0
+        for doc, start, length, ids, n in pieces:
+            done = 0
+            while done < length:
+                if at == room:
+                    room, at = min(self.capacity, 1 << (left.bit_length() - 1)), 0
+                    left -= room
+                    self.sequence += 1
+                m = min(length - done, room - at)
+                yield doc, start + done, m, ids[4 * done : 4 * (done + m)], n, self.sequence - 1, at
+                done, at = done + m, at + m
 
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -127,35 +177,44 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     """One row for each piece; ``ids`` adds its token ids.  ``capacity`` is a power of two."""
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
-    schema = _SCHEMA + (", ids array<int>" if ids else "")
 
     def run(it):
         from pyspark import TaskContext
 
-        encode, bins = encoder(vocabulary), Bins(TaskContext.get().partitionId(), capacity)
+        caches.use("packing")
+        encode, bins, table = encoder(vocabulary), Bins(TaskContext.get().partitionId(), capacity), cuts(capacity)
+        crc32 = zlib.crc32
 
         def rows(pieces):
-            cols = list(zip(*pieces)) or [()] * (8 if ids else 7)
-            names = [*(["ids"] if ids else []), "sequence_id", "offset"]
-            out = dict(zip(["doc_id", "start", "length", "ids_crc32", "doc_tokens", *names], cols))
-            types = [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + ([("ids", pa.list_(pa.int32()))] if ids else [])
-            return pa.RecordBatch.from_pydict({n: pa.array(out[n], t) for n, t in types})
+            doc, start, length, tokens, n, sequence, offset = zip(*pieces)
+            out = [pa.array(doc, pa.int64()), *(pa.array(np.fromiter(x, np.int64, len(doc))) for x in (start, length, map(crc32, tokens), n, sequence, offset))]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            if ids:
+                ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(tokens), "<i4"))))
+                names.append("ids")
+            return pa.RecordBatch.from_arrays(out, names=names)
 
         for batch in it:
             docs, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(docs), 256):
+            for i in range(0, len(docs), 512):
                 full = []
-                for doc, tokens in zip(docs[i : i + 256], encode([t or "" for t in texts.slice(i, 256).to_pylist()])):
-                    tokens += END.to_bytes(4, "little")
-                    n = len(tokens) // 4
-                    for start, length in cut(n, capacity):
-                        piece = tokens[4 * start : 4 * (start + length)]
-                        full += bins.add([doc, start, length, zlib.crc32(piece), n, *([np.frombuffer(piece, "<i4")] if ids else [])])
+                for doc, text in zip(docs[i : i + 512], texts.slice(i, 512)):
+                    tokens = encode(text.as_py() or "") + _END
+                    n = len(tokens) >> 2
+                    whole = n - n % capacity
+                    for start in range(0, whole, capacity):
+                        full += bins.add(1, (doc, start, capacity, tokens[4 * start : 4 * (start + capacity)], n))
+                    for start, length, k in table[n - whole]:
+                        start += whole
+                        full += bins.add(k, (doc, start, length, tokens[4 * start : 4 * (start + length)], n))
                 if full:
                     yield rows(full)
-        yield rows(list(bins.rest()))
+        last = list(bins.rest())
+        if last:
+            yield rows(last)
 
-    return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(run, schema)
+    return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(run, _SCHEMA + (", ids array<int>" if ids else ""))
 
 
 def op5_harmonic_packing(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from . import batches as B
 from . import kernels as K
 from . import words as W
+from .names import ddl
 from .segments import Block, Repeats, Shard
 
 WINDOW = 20
@@ -182,8 +183,6 @@ def digests(found: Repeats, id_col: str = "doc_id") -> DataFrame:
 
 def dedup(found: Repeats, text_col: str = "text") -> DataFrame:
     """The input's rows; texts that lose words become their kept words joined by one space."""
-    from .jaccard import _ddl
-
     names = found.schema.names
 
     def run(table, block, mask):
@@ -191,7 +190,7 @@ def dedup(found: Repeats, text_col: str = "text") -> DataFrame:
         new = [kept.decode() if r else o for o, (_, r, kept) in zip(old, _kept(block, mask))]
         yield {c: pa.array(new, pa.string()) if c == text_col else table.column(c).combine_chunks() for c in names}
 
-    return found.apply(run, _ddl(found.schema))
+    return found.apply(run, ddl(found.schema))
 
 
 def op1_fm_index_substring_dedup(spark, sf_dir: str) -> DataFrame:

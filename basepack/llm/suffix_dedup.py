@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from . import batches as B
 from . import kernels as K
+from .names import ddl
 from .segments import Block, Repeats, Shard
 
 WINDOW = 50
@@ -157,8 +158,6 @@ def digests(found: Repeats, id_col: str = "doc_id") -> DataFrame:
 
 def dedup(found: Repeats, text_col: str = "text") -> DataFrame:
     """The input's rows with what remains of each text; bytes of a character that was cut go too."""
-    from .jaccard import _ddl
-
     names = found.schema.names
 
     def run(table, block, mask):
@@ -166,7 +165,7 @@ def dedup(found: Repeats, text_col: str = "text") -> DataFrame:
         null = table.column(text_col).is_null().to_pylist()
         yield {c: pa.array([None if z else k for k, z in zip(kept, null)], pa.string()) if c == text_col else table.column(c).combine_chunks() for c in names}
 
-    return found.apply(run, _ddl(found.schema))
+    return found.apply(run, ddl(found.schema))
 
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

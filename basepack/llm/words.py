@@ -21,7 +21,7 @@ class _Hashes(dict):
 
 
 _hashes = caches.register("words", _Hashes())
-_CACHE_MAX = 300_000
+_MOST = caches.entries()
 
 
 def split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
@@ -35,8 +35,7 @@ def split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
 
 def hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hash of each word."""
-    if len(_hashes) > _CACHE_MAX:
-        _hashes.clear()
+    caches.bound(_hashes, _MOST)
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 

@@ -19,7 +19,7 @@ def brute(text, profiles, top):
     def ranked(counts):
         return {g: k for k, (g, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:top])}
 
-    own = ranked(Counter(langid.grams(text).tolist()))
+    own = ranked(Counter(langid.grams(langid.letters(text)).tolist()))
     far = {lang: sum(abs(k - r[g]) if g in r else top for g, k in own.items()) for lang, r in ((lang, ranked(c)) for lang, c in profiles.items())}
     best = min(far, key=lambda x: (far[x], x))
     return best, 1 - far[best] / (top * len(own))
@@ -33,7 +33,7 @@ def test_distances(spark, frame):
     profiles = {}
     for _, t, lang in rows:
         if lang and langid.has_letter(t):
-            profiles.setdefault(lang, Counter()).update(langid.grams(t).tolist())
+            profiles.setdefault(lang, Counter()).update(langid.grams(langid.letters(t)).tolist())
     for most in (10, langid.MOST_SENT):
         got = {r.doc_id: r for r in langid.predict(df, langid.profiles(df, "text", "lang", 30), top=30, most_sent=most).collect()}
         assert (got[4].lang_pred, got[4].score, got[5].lang_pred) == ("und", 0.0, "und")
@@ -51,3 +51,30 @@ def test_awkward(spark, frame, docs):
     nothing = langid.predict(df, learned(df.where("false"))).collect()
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
     assert langid.predict(frame([]), learned(df)).collect() == []
+
+
+def test_pieces_give_the_counts_of_whole_texts(monkeypatch):
+    import numpy as np
+
+    texts = [langid.letters(t) for t in ("", "a", "Ab  c", "the end, thé énd 12 " * 40, "x" * 17, "1")]
+    whole = [langid.counted([c]) for c in texts], langid.counted(texts)
+    for piece in (1, 2, 3, 7):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        for (codes, n), c in zip(whole[0], texts):
+            assert all(np.array_equal(x, y) for x, y in zip((codes, n), langid.counted([c])))
+            assert np.array_equal(np.sort(langid.grams(c)), np.repeat(codes, n))
+        assert all(np.array_equal(x, y) for x, y in zip(whole[1], langid.counted(texts)))
+
+
+def test_clashing_names(spark):
+    rows = [(1, "the end", "en", "r", [5], "x"), (2, None, "de", "r", None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, row string, own array<int>, best string")
+    for most in (0, langid.MOST_SENT):
+        got = langid.predict(df, learned(df), most_sent=most)
+        assert got.columns == [*df.columns, "lang_pred", "score"]
+        assert sorted((r.doc_id, r.row, r.own, r.best, r.lang_pred) for r in got.collect()) == [(1, "r", [5], "x", "en"), (2, "r", None, "x", "und")]
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "the end " * 300_000, "en"), (2, "das ende " * 10, "de")], "doc_id long, text string, lang string")
+    assert sorted((r.doc_id, r.lang_pred) for r in langid.predict(df, learned(df)).collect()) == [(1, "en"), (2, "de")]

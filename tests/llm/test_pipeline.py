@@ -49,4 +49,4 @@ def test_stages(spark, sf, tmp_path):
         if len(words) < 400:
             assert (r.doc_id in kept) == all(smith_waterman(m, words) < decontam.THRESHOLD * len(m) for m in items)
     was, now = held["packed"]
-    verify([(r.doc_id, r.text) for r in was], now)
+    assert verify([(r.doc_id, r.text) for r in was], now) < 0.05
