@@ -7,28 +7,38 @@ of their own (see ``intact``).  So all but need - 1 of an item's n-grams are see
 most documents hold being left out: every leak holds a seed.  Documents that hold one are aligned
 with its item around the place the seed suggests, if ``need`` n-grams of the item are there.
 
-Items go to all tasks in blocks of BLOCK_BYTES of text, two passes over the documents for each block.
-Null and empty texts, and items without words, match nothing.  Repeated doc_ids or item_ids give
-rows of their own, equal rows once.
+Items go to all tasks in blocks of BLOCK_BYTES of text, two passes over the documents for each block;
+documents are never shuffled.  Items of fewer than LEAST_WORDS words match nothing, since any text may
+hold them by chance; ``short_items`` lists them.  Null and empty texts match nothing.
+
+Each row is judged for itself: rows that repeat a doc_id, or whole rows, give rows of their own, and
+``decontaminated`` drops only those that hold an item.  Items that repeat an item_id are items of
+their own; of each row and item_id the best alignment is reported.  A null doc_id or item_id stays
+null.  Of alignments with equal scores the first in the text counts.  Empty tables give no leaks.
 """
 
 from __future__ import annotations
 
 import math
 import string
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import Workspace
+from ..workspace import Workspace, ship
+from . import caches
 from . import kernels as K
+from .names import ddl
 
 #: Longest n-grams; an item has the longest of which each of its leaks holds one.
 GRAM = 3
 THRESHOLD = 0.5
 BLOCK_BYTES = 8 << 20
+#: Fewest words of an item that is looked for.
+LEAST_WORDS = 4
 _FOLD = bytes.maketrans(string.ascii_uppercase.encode() + string.punctuation.encode(), string.ascii_lowercase.encode() + b" " * len(string.punctuation))
 
 
@@ -172,65 +182,119 @@ def _align(items: Items, found: list):
             i = j
 
 
-def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, score, end_word): documents that hold an item, the best alignment of each pair."""
-    ws = Workspace(df.sparkSession, "decontam")
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _best(found: Iterator[tuple]) -> dict[tuple, tuple]:
+    """(row, item) to its best (score, -end)."""
+    best: dict[tuple, tuple] = {}
+    for row, item, score, end in found:
+        best[row, item] = max(best.get((row, item), (0.0, 0)), (score, -end))
+    return best
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, gram: int, threshold: float, block_bytes: int, least_words: int) -> Iterator[Items]:
+    """The items, in blocks of bounded size that come to the driver one after another."""
+    ws = Workspace(benchmark.sparkSession, "decontam")
     sized = ws.write("items", benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null"))
     total = sized.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    out = None
     for b in range(blocks):
-        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # a block of bounded size
-        items = Items([(r.item_id, w) for r in rows if (w := tokens(r.text))], gram, threshold)
-        part = _block(docs, items)
+        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
+        kept = [(r.item_id, w) for r in rows if len(w := tokens(r.text)) >= least_words]
+        if kept:
+            yield Items(kept, gram, threshold)
+
+
+def short_items(benchmark: DataFrame, item_text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of ``benchmark`` that are too short to be looked for."""
+    folded = F.regexp_replace(F.coalesce(F.col(item_text), F.lit("")), r"[!-/:-@\[-`{-~]", " ")
+    words = F.filter(F.split(folded, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return benchmark.where(F.size(words) < least_words)
+
+
+class _Search:
+    """A block of items and its seeds; finds the leaks of rows of texts."""
+
+    def __init__(self, items: Items, texts: DataFrame):
+        self.items = items
+        documents = np.zeros(len(items.distinct), np.int64)
+        for r in texts.mapInArrow(self._count(items), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # n-grams of a block
+            documents[r.k] = r.n
+        chosen = items.seeds(documents)
+        self.chosen = chosen[np.argsort(items.key[chosen], kind="stable")]
+        keys = items.key[self.chosen]
+        self.lo, self.hi = np.searchsorted(keys, items.distinct), np.searchsorted(keys, items.distinct, side="right")
+
+    @staticmethod
+    def _count(items: Items):
+        def run(it):
+            caches.use("decontam")
+            n = np.zeros(len(items.distinct), np.int64)
+            for rows in it:
+                for t in rows.column(0):
+                    _, index = items.hits(items.number_of(tokens(t.as_py())), items.distinct)
+                    n[np.unique(index)] += 1
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"k": some, "n": n[some]})
+
+        return run
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple]:
+        """(row, item, score, end) of all alignments that leaked."""
+        items, lo, hi, found = self.items, self.lo, self.hi, []
+        for row, t in enumerate(texts):
+            words = items.number_of(tokens(t.as_py()))
+            place, index = items.hits(words, items.distinct)
+            uses = hi[index] - lo[index]
+            use = self.chosen[K.spread(lo[index], uses)]
+            start = np.repeat(place, uses) - items.at[use]
+            found += [(row, *p) for p in _passages(items, words, place, index, _candidates(items, items.item[use], start))]
+        return _align(items, found)
+
+
+def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, item_id, score, end_word): rows that hold an item, the best alignment of each row and item_id."""
+    ship(df.sparkSession)
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    schema, out = "doc_id long, item_id long, score double, end_word long", None
+    for items in _blocks(benchmark, item_col, item_text, gram, threshold, block_bytes, least_words):
+        part = docs.mapInArrow(_found(_Search(items, docs.select("text"))), schema)
         out = part if out is None else out.union(part)
-    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "end_word")).alias("m")).select("doc_id", "item_id", "m.score", "m.end_word")
+    return df.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _block(docs: DataFrame, items: Items) -> DataFrame:
-    def count(it):
-        n = np.zeros(len(items.distinct), np.int64)
+def _found(search: _Search):
+    def run(it):
+        caches.use("decontam")
         for rows in it:
-            for t in rows.column(1):
-                _, index = items.hits(items.number_of(tokens(t.as_py())), items.distinct)
-                n[np.unique(index)] += 1
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"k": some, "n": n[some]})
-
-    documents = np.zeros(len(items.distinct), np.int64)
-    for r in docs.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # n-grams of a block
-        documents[r.k] = r.n
-    chosen = items.seeds(documents)
-    order = np.argsort(items.key[chosen], kind="stable")
-    chosen = chosen[order]
-    keys = items.key[chosen]
-    lo, hi = np.searchsorted(keys, items.distinct), np.searchsorted(keys, items.distinct, side="right")
-
-    def find(it):
+            for i in range(0, len(rows), 512):
+                ids = rows.column(0).slice(i, 512).to_pylist()
+                best = _best((row, search.items.ids[k], score, end) for row, k, score, end in search(rows.column(1).slice(i, 512)))
+                if best:
+                    (row, item), (score, end) = zip(*best), zip(*best.values())
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[r] for r in row], pa.int64()), "item_id": pa.array(item, pa.int64()), "score": pa.array(score, pa.float64()), "end_word": -np.array(end, np.int64)})
+
+    return run
+
+
+def _clean(search: _Search, text_col: str):
+    def run(it):
+        caches.use("decontam")
         for rows in it:
-            ids, texts = rows.column(0).to_pylist(), rows.column(1)
-            for i in range(0, len(ids), 512):
-                found = []
-                for doc, t in zip(ids[i : i + 512], texts.slice(i, 512)):
-                    words = items.number_of(tokens(t.as_py()))
-                    place, index = items.hits(words, items.distinct)
-                    uses = hi[index] - lo[index]
-                    use = chosen[K.spread(lo[index], uses)]
-                    start = np.repeat(place, uses) - items.at[use]
-                    found += [(doc, *p) for p in _passages(items, words, place, index, _candidates(items, items.item[use], start))]
-                got = list(_align(items, found))
-                if got:
-                    d, k, s, e = zip(*got)
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "item_id": pa.array([items.ids[x] for x in k], pa.int64()), "score": s, "end_word": pa.array(e, pa.int64())})
-
-    return docs.mapInArrow(find, "doc_id long, item_id long, score double, end_word long")
-
-
-def decontaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` whose document holds no item."""
-    bad = leaks(df, benchmark, id_col, **options).select(F.col("doc_id").alias("bad__")).distinct()
-    return df.join(bad, df[id_col].eqNullSafe(bad["bad__"]), "left_anti")
+            for i in range(0, len(rows), 512):
+                some = rows.slice(i, 512)
+                keep = np.ones(len(some), bool)
+                keep[[row for row, *_ in search(some.column(some.schema.get_field_index(text_col)))]] = False
+                yield some.filter(pa.array(keep))
+
+    return run
+
+
+def decontaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of ``df`` that hold no item."""
+    ship(df.sparkSession)
+    texts, out = df.select(text_col), df
+    for items in _blocks(benchmark, item_col, item_text, gram, threshold, block_bytes, least_words):
+        out = out.mapInArrow(_clean(_Search(items, texts), text_col), ddl(df.schema))
+    return out
 
 
 def op7_smith_waterman_decontamination(spark, sf_dir: str) -> DataFrame:

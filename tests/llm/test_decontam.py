@@ -28,7 +28,7 @@ def brute(rows, items):
         w = decontam.tokens(t)
         for k, x in items:
             m = decontam.tokens(x)
-            if m and smith_waterman(m, w) >= decontam.THRESHOLD * len(m):
+            if len(m) >= decontam.LEAST_WORDS and smith_waterman(m, w) >= decontam.THRESHOLD * len(m):
                 out.add((i, k))
     return out
 
@@ -54,7 +54,7 @@ def test_leaks(spark, frame):
     for options in ({}, {"block_bytes": 200}):
         got = decontam.leaks(df, bench, **options).collect()
         assert {(r.doc_id, r.item_id) for r in got if r.doc_id != 64} == expected
-        assert len(got) == len({(r.doc_id, r.item_id) for r in got})
+        assert len(got) == len({(r.doc_id, r.item_id) for r in got}) + sum(i == 1 for i, _ in expected)  # two equal rows
     clean = decontam.decontaminated(df, bench)
     assert clean.columns == df.columns
     bad = {i for i, _ in expected}
@@ -90,7 +90,7 @@ def test_only_edited_copies(spark, frame):
     rows.append((7, " ".join(items[0][1])))
     items = [(k, " ".join(ws)) for k, ws in items]
     expected = brute(rows, items)
-    assert {(0, 0), (10, 1), (20, 2), (23, 2), (32, 3)} <= expected  # replaced words, words put in between, two of three left
+    assert {(0, 0), (10, 1), (20, 2), (23, 2), (32, 3)} <= expected and not {i for _, i in expected} & {5}  # replaced words, words put in between, two of three left
     got = decontam.leaks(frame(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == expected
 
@@ -108,3 +108,26 @@ def test_seeds_lose_no_leak():
             seeds = items.seeds(np.array([rng.randrange(3) for _ in items.distinct]))
             assert sum(g in held for g in items.grams[0]) >= items.need[0] > 0
             assert held & {items.grams[0][s] for s in seeds.tolist()}
+
+
+def test_each_row_for_itself(spark, frame):
+    """Rows that repeat a doc_id, items that repeat an item_id, null ids, items too short to look for."""
+    first, second = "alpha beta gamma delta epsilon", "one two three four five six"
+    rows = [(1, f"x {first} y"), (1, "clean"), (None, first), (None, "clean too"), (2, f"{second} now {first}"), (2, f"{second} now {first}"), (3, "now"), (4, None)]
+    items = [(7, first), (7, second), (None, second), (8, "now"), (9, "so it is"), (10, ""), (11, None)]
+    df, bench = frame(rows), spark.createDataFrame(items, "item_id long, text string")
+    for options in ({}, {"block_bytes": 100}):
+        got = decontam.leaks(df, bench, **options)
+        best = got.groupBy("doc_id", "item_id").count().collect()
+        assert {(r.doc_id, r.item_id) for r in best} == {(1, 7), (None, 7), (2, 7), (2, None)}
+        assert {r.score for r in got.collect()} == {1.0}
+        kept = decontam.decontaminated(df, bench, **options)
+        assert kept.columns == df.columns
+        assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "clean too"), (1, "clean"), (3, "now"), (4, "")]
+    assert sorted((r.item_id, r.text) for r in decontam.short_items(bench).collect()) == [(8, "now"), (9, "so it is"), (10, ""), (11, None)]
+
+
+def test_best_alignment_has_its_end(spark, frame):
+    item = "alpha beta gamma delta epsilon zeta"
+    got = decontam.leaks(frame([(1, "alpha beta gamma delta x y z a b c d e f g " * 3 + item + " " + item)]), spark.createDataFrame([(0, item)], "item_id long, text string")).collect()
+    assert [(r.score, r.end_word) for r in got] == [(1.0, 47)]
