@@ -20,14 +20,23 @@ def _released(ws: Workspace | None = None) -> None:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned stay; those without a letter go."""
+    """Documents in one of the learned languages stay; those without a letter, null texts included, go.
+
+    A document without a lang gets the one predicted.  Ties between languages go to the smaller
+    name.  Where nothing was learned, and in an empty table, nothing stays.
+    """
     held_out = langid.fold("doc_id") % langid.FOLDS == langid.HELD_OUT
     learned = langid.profiles(docs.where(~held_out), "text", "lang")
-    return langid.predict(docs, learned).where("lang_pred <> 'und'").select(*docs.columns)
+    lang = F.coalesce(F.col("lang").cast("string"), F.col("lang_pred")).cast(docs.schema["lang"].dataType).alias("lang")
+    return langid.predict(docs, learned).where("lang_pred <> 'und'").select(*(lang if c == "lang" else c for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of a 5-word-shingle similarity of 0.8 or more stays, that of the smallest doc_id."""
+    """One document of each group of a 5-word-shingle similarity of 0.8 or more stays, that of the smallest doc_id.
+
+    A null doc_id counts as larger than all others; of rows with equal doc_id in a group one stays.
+    Documents without words are no group and stay.
+    """
     _released()
     join = jaccard.JaccardJoin(docs, n=5, num=80, den=100)
     _released(join.ws)
@@ -35,7 +44,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 50 bytes go where a document of a smaller doc_id has them; n_chars follows the text."""
+    """Strings of 50 bytes go where a document of a smaller doc_id has them; n_chars follows the text.
+
+    Null texts stay null, rows with equal doc_id never cut one another, and every row stays, emptied ones too.
+    """
     _released()
     found = suffix_dedup.repeats(docs)
     _released(found.ws)
@@ -44,12 +56,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, each row judged for itself; null texts and an empty benchmark hold none."""
     _released()
     return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their token ids; a null text is its end token alone."""
     return packing.pack(docs, ids=True)
 
 
