@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; an own temporary folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; an own temporary folder only where it is unset and all runs on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "basepack-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,6 +44,10 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(path))
 
 
+#: Database of working tables that are bucketed; those of drivers that were killed can be dropped with it.
+DATABASE = "basepack_work"
+
+
 class Workspace:
     """Written tables of one operator run.
 
@@ -64,7 +70,8 @@ class Workspace:
 
     def bucketed(self, name: str, df: DataFrame, key: str, buckets: int) -> DataFrame:
         """Writes a table that joins and cogroups on ``key`` read without a shuffle."""
-        table = f"{self.name}_{name}"
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE} LOCATION '{shared_dir(self.spark)}/{DATABASE}'")
+        table = f"{DATABASE}.{self.name}_{name}"
         self._tables.append(table)
         df.write.bucketBy(buckets, key).option("path", f"{self.root}/{name}").format("parquet").saveAsTable(table)
         return self.spark.table(table)
