@@ -1,14 +1,18 @@
 """Substring dedup: a compressed FM-index for each shard, searched backwards for documents' segments.
 
-A shard's segments, words as symbols, form one text.  Its suffixes are sorted to a bounded depth,
-its Burrows-Wheeler transform is held in a wavelet matrix of packed bits, and each segment streams
-through it from its last word to its first: a backward step extends the match, and the interval of
-a match longer than the window shrinks to the window's.  So every position has its matching
-statistic up to the window's length and, at that length, the interval of all its occurrences; the
-window is repeated if the earliest of them lies before it.
+A shard's segments, words as symbols, form one text.  Its index keeps the Burrows-Wheeler transform in
+a wavelet tree shaped by the words' frequencies (each word costs about the bits of its information),
+the common prefix of neighbouring rows (a byte each, up to the window) and each row's age, which is its
+place in the order of (document, start); neither text nor suffix array stays.  Documents' segments
+stream through it from the last word to the first.  A backward step extends the match to the left;
+where it fails the match falls back to its parent, which is shorter on the right, and beyond the
+window's length it shrinks to the window.  That gives each position its matching statistic, up to the
+window, and the interval of rows where the match stands.  Where the statistic reaches the window, the
+least age in the interval tells whether the window also starts earlier; such intervals are reported.
 
 Null texts and texts without words have none.  Rows with equal doc_id count as one document whose
-starts decide; a null doc_id counts as larger than all others.  Repeats are judged on the input.
+starts decide; a null doc_id counts as larger than all others.  Repeats are judged on the input.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,71 +43,160 @@ def read_words(text_col: str):
     return run
 
 
-class WaveletMatrix:
-    """Ranks of symbols in a sequence, on packed bits: one plane for each bit of a symbol."""
-
-    def __init__(self, x: np.ndarray, bits: int):
-        self.bits, self.planes = bits, []
-        for level in range(bits - 1, -1, -1):
-            bit = (x >> level) & 1
-            pad = np.zeros(-(-(len(x) + 1) // 64) * 64, np.uint8)
-            pad[: len(x)] = bit
-            packed = np.packbits(pad, bitorder="little").view(np.uint64)
-            before = np.zeros(len(packed), np.uint32)
-            before[1:] = np.cumsum(np.bitwise_count(packed[:-1]), dtype=np.uint32)
-            self.planes.append((packed, before, int(len(x) - bit.sum())))
+class Bits:
+    """Packed bits with the number of ones before each word of 64."""
+
+    def __init__(self, bit: np.ndarray):
+        pad = np.zeros(-(-(len(bit) + 1) // 64) * 64, np.uint8)
+        pad[: len(bit)] = bit
+        self.words = np.packbits(pad, bitorder="little").view(np.uint64)
+        self.before = np.zeros(len(self.words), np.uint32)
+        self.before[1:] = np.cumsum(np.bitwise_count(self.words[:-1]), dtype=np.uint32)
+
+    def ones(self, i: np.ndarray) -> np.ndarray:
+        """Ones before each position."""
+        word = i >> 6
+        inside = self.words[word] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
+        return self.before[word].astype(np.int64) + np.bitwise_count(inside)
+
+
+class WaveletTree:
+    """Ranks of symbols in a sequence, by levels of packed bits; a frequent symbol has a short code."""
+
+    def __init__(self, x: np.ndarray, symbols: int):
+        n, counts = max(1, len(x)), np.bincount(x, minlength=symbols)
+        self.length = np.ceil(np.log2(n / np.maximum(counts, 1))).astype(np.int64).clip(1)
+        self.length[counts == 0] = 0
+        used = np.flatnonzero(counts)
+        used = used[np.argsort(self.length[used], kind="stable")]
+        deepest = int(self.length.max(initial=0))
+        width = np.int64(1) << (deepest - self.length[used])
+        code = np.zeros(symbols, np.int64)
+        code[used] = (np.cumsum(width) - width) >> (deepest - self.length[used])
+        self.code, self.levels = code, []
+        start = np.zeros(symbols, np.int64)
+        for level in range(deepest):
+            bit_of = (code >> np.maximum(self.length - 1 - level, 0)) & 1
+            bit = bit_of[x]
+            bits = Bits(bit)
+            first = bits.ones(start)
+            self.levels.append((bits, start.astype(np.int32), first.astype(np.int32)))
+            # Zeros go before ones; symbols whose code ends here go altogether.
             x = np.concatenate([x[bit == 0], x[bit == 1]])
+            start = np.where(bit_of == 1, len(bit) - int(bit.sum()) + first, start - first)
+            stays = self.length[x] > level + 1
+            gone = np.concatenate([[0], np.cumsum(~stays)])
+            x, start = x[stays], start - gone[np.minimum(start, len(stays))]
+
+    def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """How often each symbol stands before position i."""
+        i, out, lane = i.copy(), np.zeros(len(i), np.int64), np.flatnonzero(self.length[symbol] > 0)
+        i, symbol = i[lane], symbol[lane]
+        length, code = self.length[symbol], self.code[symbol]
+        shortest = int(length.min(initial=1))
+        for level, (bits, start, first) in enumerate(self.levels):
+            if level >= shortest:
+                done = length == level
+                if done.any():
+                    out[lane[done]] = i[done]
+                    live = ~done
+                    i, symbol, length, code, lane = i[live], symbol[live], length[live], code[live], lane[live]
+                    if not len(lane):
+                        break
+            ones = bits.ones(start[symbol] + i) - first[symbol]
+            i = np.where((code >> (length - 1 - level)) & 1, ones, i - ones)
+        out[lane] = i
+        return out
 
-    def walk(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Where position i ends up among the symbols sorted by reversed bits."""
-        for level, (packed, before, zeros) in enumerate(self.planes):
-            word = i >> 6
-            ones = before[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
-            set_ = ((symbol >> (self.bits - 1 - level)) & 1).astype(bool)
-            i = np.where(set_, zeros + ones.astype(np.int64), i - ones)
-        return i
 
+def suffix_order(text: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions sorted by what follows them, beyond the window; and neighbours' common prefixes, up to the window."""
+    ranks, span = [K.ranks(text)], 1
+    while span <= window:
+        key = ranks[-1] * np.int64(len(text) + 2)
+        key[:-span] += ranks[-1][span:] + np.int64(1)
+        ranks.append(K.ranks(key))
+        span *= 2
+    order = np.argsort(ranks.pop(), kind="stable")
+    p, q = order[:-1].copy(), order[1:].copy()
+    common = np.zeros(len(p), np.int64)
+    for rank in reversed(ranks):
+        span //= 2
+        inside = np.maximum(p, q) < len(text)
+        same = inside.copy()
+        same[inside] = rank[p[inside]] == rank[q[inside]]
+        p, q, common = p + span * same, q + span * same, common + span * same
+    return order, np.concatenate([[0], np.minimum(common, window)])
 
-class FMIndex:
-    """Of a text of symbols >= 1 with separators 0, for patterns of up to ``depth`` symbols."""
-
-    def __init__(self, text: np.ndarray, depth: int, window: int):
-        n = len(text)
-        rank, span, spans = K.ranks(text), 1, {}
-        while span < depth:
-            spans[span] = rank
-            rank = self._joined(rank, rank, span)
-            span *= 2
-        self.window_rank = self._of(spans | {span: rank}, window)
-        self.sa = np.argsort(rank, kind="stable")
-        bwt = text[self.sa - 1]
-        self.bits = max(1, int(text.max(initial=1)).bit_length())
-        self.wavelet = WaveletMatrix(bwt, self.bits)
-        self.less = np.concatenate([[0], np.cumsum(np.bincount(text))])
-        symbols = np.arange(len(self.less) - 1)
-        self.origin = self.wavelet.walk(symbols, np.zeros(len(symbols), np.int64))
-        cls = self.window_rank[self.sa]
-        self.class_start = np.searchsorted(cls, np.arange(cls.max(initial=0) + 2))
-        self.n = n
-
-    @staticmethod
-    def _joined(left: np.ndarray, right: np.ndarray, span: int) -> np.ndarray:
-        key = left * np.int64(len(left) + 2)
-        key[:-span] += right[span:] + np.int64(1)
-        return K.ranks(key)
-
-    def _of(self, spans: dict[int, np.ndarray], length: int) -> np.ndarray:
-        """Ranks by the next ``length`` symbols."""
-        out, done = None, 0
-        for span in sorted(spans, reverse=True):
-            if length & span:
-                out = spans[span] if out is None else self._joined(out, spans[span], done)
-                done += span
-        return out
 
-    def extend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Backward step of an interval's border."""
-        return self.less[symbol] + self.wavelet.walk(symbol, i) - self.origin[symbol]
+class FMIndex:
+    """Of a text of symbols >= 1 in which 0 ends each piece; ``age`` of each position."""
+
+    def __init__(self, text: np.ndarray, window: int, age: np.ndarray):
+        order, common = suffix_order(text, window)
+        self.n, self.window = len(text), window
+        counts = np.bincount(text)
+        self.less = np.concatenate([[0], np.cumsum(counts)])
+        self.tree = WaveletTree(text[order - 1], len(counts))
+        self.common = np.append(common, 0).astype(np.uint8 if window < 256 else np.int32)
+        first = common < window
+        self.first = Bits(first)
+        self.rows = np.append(np.flatnonzero(first), self.n)
+        self.age = age[order].astype(np.int32)
+
+    def least_age(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Range minimum of the ages in each interval of rows."""
+        if not len(lo):
+            return np.empty(0, np.int32)
+        some, which = np.unique(lo * np.int64(self.n + 1) + hi, return_inverse=True)
+        edges = np.stack([some // (self.n + 1), some % (self.n + 1)], axis=1).ravel()
+        return np.minimum.reduceat(np.append(self.age, np.iinfo(np.int32).max), edges)[::2][which]
+
+    def _parent(self, lo: np.ndarray, hi: np.ndarray):
+        """(interval, length) of the longest shorter match that stands in more rows."""
+        length = np.maximum(self.common[lo], self.common[hi]).astype(np.int64)
+        lo, hi = lo.copy(), hi.copy()
+        while (up := (self.common[lo] >= length) & (lo > 0)).any():
+            lo[up] -= 1
+        while (down := (self.common[hi] >= length) & (hi < self.n)).any():
+            hi[down] += 1
+        return lo, hi, length
+
+    def statistics(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """(length, first row, row behind the last) of the longest match, up to the window, from each position of the patterns.
+
+        Patterns are symbols[start:end], all streamed at once from their ends; -1 is a symbol the text lacks.
+        """
+        length_at, lo_at, hi_at = (np.zeros(len(symbols), np.int64) for _ in range(3))
+        lane = np.argsort(starts - ends, kind="stable")
+        sizes = (ends - starts)[lane]
+        lo, hi, length = np.zeros(len(lane), np.int64), np.full(len(lane), self.n, np.int64), np.zeros(len(lane), np.int64)
+        for t in range(int(sizes.max(initial=0))):
+            alive = int(np.searchsorted(-sizes, -t, side="left"))
+            lane, lo, hi, length = lane[:alive], lo[:alive], hi[:alive], length[:alive]
+            pos = ends[lane] - 1 - t
+            todo = np.arange(alive)
+            while len(todo):
+                c = symbols[pos[todo]]
+                known = (c >= 0) & (c < len(self.less) - 1)
+                lost, todo, c = todo[~known], todo[known], c[known]
+                lo[lost], hi[lost], length[lost] = 0, self.n, 0
+                both = self.less[np.concatenate([c, c])] + self.tree.rank(np.concatenate([c, c]), np.concatenate([lo[todo], hi[todo]]))
+                a, z = both[: len(c)], both[len(c) :]
+                ok = a < z
+                good, bad = todo[ok], todo[~ok]
+                lo[good], hi[good], length[good] = a[ok], z[ok], length[good] + 1
+                todo = bad[length[bad] > 0]
+                if len(bad):
+                    none = bad[length[bad] == 0]
+                    lo[none], hi[none] = 0, self.n
+                    lo[todo], hi[todo], length[todo] = self._parent(lo[todo], hi[todo])
+            over = np.flatnonzero(length > self.window)
+            if len(over):
+                row = self.first.ones(lo[over] + 1) - 1
+                lo[over], hi[over], length[over] = self.rows[row], self.rows[row + 1], self.window
+            length_at[pos], lo_at[pos], hi_at[pos] = length, lo, hi
+        return length_at, lo_at, hi_at
 
 
 def match(window: int):
@@ -119,7 +212,6 @@ def match(window: int):
         text = np.array(symbols, np.int64)
         del symbols, number
         ends = np.cumsum(sizes + 1) - 1  # of each piece's words
-        index = FMIndex(text, 32 if window < 32 else 2 * window, window)
         # Order of all window starts by (document, start), equal for equal pairs.
         starts = ends - sizes
         at = K.spread(starts, sizes - window + 1)
@@ -130,25 +222,11 @@ def match(window: int):
         step[1:] = (doc[by][1:] != doc[by][:-1]) | (place[by][1:] != place[by][:-1])
         age = np.full(len(text), len(text) + 1, np.int64)
         age[at[by]] = np.cumsum(step)
-        earliest = np.minimum.reduceat(age[index.sa], index.class_start[:-1])
-        # All pieces stream through the index at once.
-        lane = np.argsort(-sizes, kind="stable")
-        lo, hi = np.zeros(len(lane), np.int64), np.full(len(lane), len(text), np.int64)
+        index = FMIndex(text, window, age)
+        length, lo, hi = index.statistics(text, starts, ends)
+        again = np.flatnonzero((length == window) & (hi - lo > 1))
         found = np.zeros(len(text) + 1, bool)
-        for t in range(int(sizes.max(initial=0))):
-            alive = int(np.searchsorted(-sizes[lane], -t, side="left"))
-            lane, lo, hi = lane[:alive], lo[:alive], hi[:alive]
-            pos = ends[lane] - 1 - t
-            c = text[pos]
-            both = index.extend(np.concatenate([c, c]), np.concatenate([lo, hi]))
-            lo, hi = both[:alive], both[alive:]
-            if t >= window:
-                cls = index.window_rank[index.sa[lo]]
-                lo, hi = index.class_start[cls], index.class_start[cls + 1]
-            if t >= window - 1:
-                cls = index.window_rank[index.sa[lo]]
-                many = hi - lo > 1
-                found[pos[many]] = age[pos[many]] > earliest[cls[many]]
+        found[again] = index.least_age(lo[again], hi[again]) < age[again]
         i, j = K.runs_of(found)
         which = np.searchsorted(ends, i, side="right")
         return sizes, which, i - starts[which], j - 1 - starts[which]

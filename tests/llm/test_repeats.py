@@ -81,13 +81,40 @@ def test_previous_factors():
     assert list(suffix_dedup.previous_factors(value, lcp, 50)) == [0, 0, 70, 0, 51]
 
 
-def test_wavelet_ranks():
-    x = np.random.default_rng(1).integers(0, 11, 500)
-    w = substring_dedup.WaveletMatrix(x, 4)
-    at = np.arange(501)
-    for c in range(11):
-        start = w.walk(np.array([c]), np.array([0]))[0]
-        assert np.array_equal(w.walk(np.full(501, c), at) - start, np.concatenate([[0], np.cumsum(x == c)]))
+@pytest.mark.parametrize("n, symbols", [(0, 3), (1, 1), (500, 11), (3000, 400), (64, 1)])
+def test_wavelet_ranks(n, symbols):
+    rng = np.random.default_rng(n)
+    x = np.minimum(rng.geometric(0.05 if symbols > 20 else 0.3, n) - 1, symbols - 1)
+    tree = substring_dedup.WaveletTree(x, symbols + 1)
+    at = np.arange(n + 1)
+    for c in range(symbols + 1):
+        assert np.array_equal(tree.rank(np.full(n + 1, c), at), np.concatenate([[0], np.cumsum(x == c)]))
+    if symbols > 20:  # short codes for frequent symbols: fewer bits than plain planes have
+        assert tree.length[x].sum() < n * int(symbols).bit_length()
+
+
+@pytest.mark.parametrize("window", [1, 3, 6])
+@pytest.mark.parametrize("symbols", [2, 4, 30])
+def test_matching_statistics_of_other_documents(window, symbols):
+    """Patterns that the index does not hold: longest matches and where they stand, against a scan."""
+    rng = np.random.default_rng(symbols * 10 + window)
+    pieces = [rng.integers(1, symbols, rng.integers(0, 40)).tolist() for _ in range(12)]
+    text = np.array([c for p in pieces for c in [*p, 0]])
+    index = substring_dedup.FMIndex(text, window, age := rng.permutation(len(text)))
+    patterns = rng.integers(1, symbols + 2, 200)
+    patterns[patterns > symbols] = -1
+    ends = np.array([0, 30, 31, 90, 200])
+    length, lo, hi = index.statistics(patterns, ends[:-1], ends[1:])
+    least = index.least_age(lo, hi)
+    for a, z in zip(ends, ends[1:]):
+        for i in range(a, z):
+            best = 0
+            while best < min(window, z - i) and any(text[s : s + best + 1].tolist() == patterns[i : i + best + 1].tolist() for s in range(len(text) - best)):
+                best += 1
+            at = [s for s in range(len(text)) if text[s : s + best].tolist() == patterns[i : i + best].tolist() and s + best <= len(text)]
+            assert length[i] == best
+            if best:
+                assert hi[i] - lo[i] == len(at) and least[i] == min(age[s] for s in at)
 
 
 @pytest.mark.parametrize("window, k", [(50, 20), (20, 6)])
