@@ -120,6 +120,17 @@ class Batches:
         return self.table.select("batch", "payload").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, schema)
 
 
+def give_rows(rows: DataFrame, answers: DataFrame, fn: Callable[[int, bytes, pa.Table], Iterator[dict]], schema: str) -> DataFrame:
+    """``fn(batch, blob, answers of the batch)`` for every row (batch, blob)."""
+    types = _arrow_schema(rows.sparkSession, schema)
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [pa.RecordBatch.from_pydict(x, types) for blob in left.column("blob") for x in fn(key[0].as_py(), blob.as_py(), right)]
+        return pa.Table.from_batches(out, types)
+
+    return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, schema)
+
+
 def _arrow_schema(spark, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

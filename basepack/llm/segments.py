@@ -4,8 +4,9 @@ A window's anchor is its minimal k-gram, so equal windows have equal anchors.  W
 an anchor form a run, whose symbols are a segment.  Only segments whose anchor occurs more than
 once can hold a repeated window; those go to the shard of their anchor, where an index over the
 shard's segments decides.  An anchor that more than ``hot`` batches have would gather too much in a
-shard: its windows go one by one, each to the shard of its own hash, which no other window shares.
-Equal segments of a batch are sent once: all but the earliest are repeats as they stand.
+shard, most of it neighbours of a common passage that differ everywhere: there the windows' own
+hashes are asked for first, and only what is repeated of a segment goes on, which is alike in most
+batches.  Equal segments of a batch are sent once: all but the earliest are repeats as they stand.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from ..workspace import Workspace
 from . import batches as B
 from . import kernels as K
 
-HOT_BATCHES = 1000
+HOT_BATCHES = 64
 #: Bytes of text for each shard.
 SHARD_BYTES = 1 << 20
 #: Parts of a shard, by anchor, that are matched one after another.
@@ -99,41 +100,96 @@ def _unpack(blob: bytes, types: tuple) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
-def _segments(read: Callable, id_col: str, window: int, k: int, shards: int, within: bool):
+@dataclass
+class Runs:
+    """Segments of a batch: document, window starts there and in the batch, last window, shard's key, symbols."""
+
+    who: np.ndarray
+    local: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    route: np.ndarray
+    pieces: list[bytes]
+
+    def take(self, at: np.ndarray) -> Runs:
+        return Runs(self.who[at], self.local[at], self.start[at], self.end[at], self.route[at], [self.pieces[i] for i in at.tolist()])
+
+    def first(self, within: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the segments that no equal one precedes, and of the others."""
+        order = np.lexsort((self.start, self.local, self.who) if within else (self.start, self.who))
+        seen: dict[bytes, tuple] = {}
+        send, sure = [], []
+        for i in order.tolist():
+            key = (self.who[i], self.local[i]) if within else self.who[i]
+            (sure if seen.setdefault(self.pieces[i], key) < key else send).append(i)
+        return np.array(send, np.int64), np.array(sure, np.int64)
+
+
+def _spans(batch: int, runs: Runs, window: int) -> Iterator[dict]:
+    if len(runs.start):
+        yield {"kind": ["span"], "bucket": [None], "batch": [batch], "blob": [B.pack(np.stack([runs.start, runs.end + window]).astype(np.int64).tobytes())]}
+
+
+def _to_shards(batch: int, runs: Runs, shards: int) -> Iterator[dict]:
+    for b, at in B.by_bucket(B.bucket_of(runs.route, shards)):
+        r = runs.take(at)
+        yield {"kind": ["segment"], "bucket": [b], "batch": [batch], "blob": [_pack([r.who, r.local, r.start, np.array([len(x) for x in r.pieces], np.int32), (r.route % np.uint64(PARTS)).astype(np.uint8)], b"".join(r.pieces))]}
+
+
+def _windows(read: Callable, text_col: str, pieces: list[bytes], window: int) -> tuple[Block, np.ndarray, np.ndarray]:
+    """(pieces as a block, positions of their windows there, the windows' hashes)."""
+    block = read(pa.table({text_col: pa.array(pieces, pa.binary())}))
+    at = K.spread(block.bounds[:-1], np.diff(block.bounds) - window + 1)
+    hashed = [np.empty(0, np.uint64)]
+    for i, j in zip(cuts := np.searchsorted(at, np.arange(0, int(block.bounds[-1]) + PART_SYMBOLS, PART_SYMBOLS)), cuts[1:]):
+        if j > i:
+            hashed.append(K.gram_hashes(block.symbols(int(at[i]), int(at[j - 1]) + window), window)[at[i:j] - at[i]])
+    return block, at, np.concatenate(hashed)
+
+
+def _segments(read: Callable, id_col: str, text_col: str, window: int, k: int, shards: int, buckets: int, within: bool):
     """within: a start counts as earlier in the same document also."""
 
     def run(batch: int, table: pa.Table, answers: pa.Table) -> Iterator[dict]:
         block, ids = read(table), B.ids_of(table, id_col)
         first, last, anchor = _anchors(block, window, k)
         code = B.repeated_of(anchor, answers)
-        one = np.flatnonzero(code == 1)
-        hot = np.flatnonzero(code == 2)
-        single = K.spread(first[hot], last[hot] - first[hot] + 1)
-        start, end = np.concatenate([first[one], single]), np.concatenate([last[one], single])
-        route = anchor[one]
-        if len(single):
-            route = np.concatenate([route, K.gram_hashes(block.symbols(0, int(block.bounds[-1])), window)[single]])
-        doc = np.searchsorted(block.bounds, start, side="right") - 1
-        who, local = ids[doc], start - block.bounds[doc]
-        order = np.lexsort((start, local, who) if within else (start, who))
-        seen: dict[bytes, tuple] = {}
-        send, sure, pieces = [], [], []
-        for i in order.tolist():
-            piece = block.piece(start[i], end[i] + window - 1)
-            key = (who[i], local[i]) if within else who[i]
-            if seen.setdefault(piece, key) < key:
-                sure.append(i)
-            else:
-                send.append(i)
-                pieces.append(piece)
-        sure = np.array(sure, np.int64)
-        if len(sure):
-            yield {"kind": ["span"], "bucket": [None], "batch": [batch], "blob": [B.pack(np.stack([start[sure], end[sure] + window]).astype(np.int64).tobytes())]}
-        send = np.array(send, np.int64)
-        for b, part in B.by_bucket(B.bucket_of(route[send], shards)):
-            at = send[part]
-            chosen = [pieces[i] for i in part.tolist()]
-            yield {"kind": ["segment"], "bucket": [b], "batch": [batch], "blob": [_pack([who[at], local[at].astype(np.int64), start[at].astype(np.int64), np.array([len(x) for x in chosen], np.int32), (route[at] % np.uint64(PARTS)).astype(np.uint8)], b"".join(chosen))]}
+        for hot in (False, True):
+            at = np.flatnonzero(code == 1 + hot)
+            if not len(at):
+                continue
+            start, end = first[at], last[at]
+            doc = np.searchsorted(block.bounds, start, side="right") - 1
+            runs = Runs(ids[doc], start - block.bounds[doc], start, end, anchor[at], [block.piece(i, j + window - 1) for i, j in zip(start.tolist(), end.tolist())])
+            send, sure = runs.first(within)
+            yield from _spans(batch, runs.take(sure), window)
+            runs = runs.take(send)
+            if not hot:
+                yield from _to_shards(batch, runs, shards)
+                continue
+            for b, batch_, blob in ((r["bucket"], r["batch"], r["blob"]) for r in B.ask_repeated(batch, _windows(read, text_col, runs.pieces, window)[2], buckets)):
+                yield {"kind": ["ask"], "bucket": b, "batch": batch_, "blob": blob}
+            yield {"kind": ["hot"], "bucket": [None], "batch": [batch], "blob": [_pack([runs.who, runs.local, runs.start, runs.route, np.array([len(x) for x in runs.pieces], np.int32)], b"".join(runs.pieces))]}
+
+    return run
+
+
+def _trimmed(read: Callable, text_col: str, window: int, shards: int, within: bool):
+    """What is repeated of the segments of hot anchors."""
+
+    def run(batch: int, blob: bytes, answers: pa.Table) -> Iterator[dict]:
+        (who, local, start, route, size), data = _unpack(blob, (np.int64, np.int64, np.int64, np.uint64, np.int32))
+        cut = np.concatenate([[0], np.cumsum(size)]).tolist()
+        block, at, keys = _windows(read, text_col, [data[i:j] for i, j in zip(cut, cut[1:])], window)
+        again = np.zeros(int(block.bounds[-1]) + 1, bool)
+        again[at] = B.repeated_of(keys, answers) > 0
+        i, j = K.runs_of(again)  # within pieces: the last window - 1 symbols of a piece are no window's start
+        piece = np.searchsorted(block.bounds, i, side="right") - 1
+        by = i - block.bounds[piece]
+        runs = Runs(who[piece], local[piece] + by, start[piece] + by, start[piece] + by + j - 1 - i, route[piece], [block.piece(a, z + window - 2) for a, z in zip(i.tolist(), j.tolist())])
+        send, sure = runs.first(within)
+        yield from _spans(batch, runs.take(sure), window)
+        yield from _to_shards(batch, runs.take(send), shards)
 
     return run
 
@@ -203,7 +259,12 @@ class Repeats:
             yield from B.ask_repeated(batch, _anchors(read(table), window, k)[2], buckets)
 
         codes = B.repeated(batches.ask(ask, B.ASK_REPEATED), hot)
-        found = ws.write("found", batches.give(codes, _segments(read, id_col, window, k, shards, within), _SCHEMA), "kind")
+        found = ws.write("found", batches.give(codes, _segments(read, id_col, text_col, window, k, shards, buckets, within), _SCHEMA), "kind")
+        asked = found.where("kind = 'ask'").select("bucket", "batch", "blob")
+        if not asked.isEmpty():
+            hot_runs = found.where("kind = 'hot'").select("batch", "blob")
+            trimmed = ws.write("trimmed", B.give_rows(hot_runs, B.repeated(asked, hot), _trimmed(read, text_col, window, shards, within), _SCHEMA), "kind")
+            found = found.where("kind in ('span', 'segment')").unionByName(trimmed)
         matched = B.answer(found.where("kind = 'segment'").select("bucket", "batch", "blob"), _matched(match, window, within), "batch long, blob binary")
         self.spans = found.where("kind = 'span'").select("batch", "blob").union(matched)
 
