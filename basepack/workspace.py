@@ -28,8 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 _shipped: set[str] = set()
 
 
+#: Most bytes of an Arrow batch on its way to Python, where the session leaves Spark's default.
+ARROW_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once a Spark application."""
+    """Gives the executors this package, once a Spark application, and bounds the session's Arrow batches."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in ("67108864b", "64m"):
+        spark.conf.set(name, str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
