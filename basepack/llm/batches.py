@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
+from . import kernels as K
 
 #: Bytes of text of a batch.  A longer document is a batch of its own.
 BATCH_BYTES = 4 << 20
@@ -154,7 +155,7 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, positions in their order) of all buckets that occur."""
-    order = np.argsort(buckets, kind="stable")
+    order = K.stable_order(buckets)
     s = buckets[order]
     cuts = np.flatnonzero(s[1:] != s[:-1]) + 1
     for part in np.split(order, cuts) if len(s) else []:

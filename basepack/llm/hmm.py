@@ -2,16 +2,20 @@
 
 A latent state emits a word's class (a hash of its last letters), the class emits the word.  Words'
 counts are asked for in buckets of their hashes, once a batch, so a frequent word is no hot key.
-Baum-Welch runs over all learning documents: each task adds up the expected counts of its batches
-(in windows of CHUNK tokens), and their sums over the tasks give the next parameters, whose size is
-fixed.  A text's score is the scaled forward recursion over its whole length:
+Baum-Welch runs over all learning documents, whole: each task adds up the expected counts of its
+batches, and their sums over the tasks give the next parameters, whose size is fixed.  Texts run side
+by side; a text of more than CHUNK tokens runs as several lanes at once, which share the tokens at
+their borders: the product of a lane's transitions carries what is known of the text before and
+behind it over the border, so nothing is lost there.  Sums are in single precision within a batch.  A
+text's score is the scaled forward recursion over its whole length, in double precision:
 
     log10 P(text) = sum over tokens of log10 P(word | class) + log10 sum over paths P(classes, states)
 
 P(word | class) adds one to each count, and to one unknown word of each class.
 
-Null and empty texts are the end token alone.  A null doc_id is not held out.  Words are told apart
-by 64-bit hashes.  When nothing was learned, all words are unknown.
+Null and empty texts are the end token alone.  A null doc_id is not held out.  Rows that repeat a
+doc_id are texts of their own, learned from and scored one by one.  Words are told apart by 64-bit
+hashes.  When nothing was learned, all words are unknown.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,8 +38,8 @@ STATES = 8
 CLASSES = 4096
 ROUNDS = 4
 SUFFIX = 3
-#: Tokens of a window of Baum-Welch; scoring has no windows.
-CHUNK = 256
+#: Tokens of a lane of Baum-Welch.
+CHUNK = 1024
 #: Pseudo-counts, dealt like all words' classes, that each state's emissions get.
 PRIOR = 50.0
 FOLDS, HELD_OUT = 7, 2
@@ -101,10 +105,10 @@ def _ask(text_col: str, buckets: int):
         for b, part in B.by_bucket(B.bucket_of(keys, buckets)):
             arrays = [keys[part].tobytes(), counts[part].astype(np.int32).tobytes(), classes[part].astype(np.int16).tobytes()]
             yield {"kind": ["words"], "bucket": [b], "batch": [batch], "blob": [B.pack(len(part).to_bytes(8, "little") + b"".join(arrays))]}
-        # What Baum-Welch reads in each round: the classes of the learning texts' windows.
-        at, n = _windows(bounds, learns(table))
-        blob = len(n).to_bytes(8, "little") + n.tobytes() + classes[token[K.spread(at, n)]].astype(np.int16).tobytes()
-        yield {"kind": ["windows"], "bucket": [None], "batch": [batch], "blob": [B.pack(blob)]}
+        # What Baum-Welch reads in each round: the classes of the learning texts.
+        n = np.diff(bounds)[learns(table)]
+        blob = len(n).to_bytes(8, "little") + n.tobytes() + classes[token[each]].astype(np.int16).tobytes()
+        yield {"kind": ["texts"], "bucket": [None], "batch": [batch], "blob": [B.pack(blob)]}
 
     return run
 
@@ -162,36 +166,83 @@ def _by_time(classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
     return classes[starts[lane] + np.repeat(np.arange(len(alive)), alive)], cut
 
 
-def expected(classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, p: Parameters):
-    """Expected counts (first, step, emit) of sequences classes[start:start + length], side by side.
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+def _transfers(classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, p: Parameters) -> np.ndarray:
+    """For each lane the product of step and emission over its tokens after the first, up to a factor."""
+    order = np.argsort(-lengths, kind="stable")
+    seen, cut = _by_time(classes, starts[order], lengths[order])
+    n = len(p.first)
+    out = np.broadcast_to(np.eye(n, dtype=np.float32), (len(order), n, n)).copy()
+    step, emit = p.step.astype(np.float32), p.emit.astype(np.float32)
+    for t in range(1, len(cut) - 1):
+        i, j = cut[t], cut[t + 1]
+        x = (out[: j - i].reshape(-1, n) @ step).reshape(-1, n, n) * emit[seen[i:j]][:, None, :]
+        out[: j - i] = x / x.sum(axis=(1, 2), keepdims=True)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def _lanes(classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, p: Parameters, chunk: int):
+    """(start, length, inner, alpha at the first token, beta at the last) of the lanes of some texts.
+
+    Lanes of a text share the tokens at their borders; ``inner`` lanes start at one.
+    """
+    many = np.maximum(1, -(-(lengths - 1) // chunk))
+    text = np.repeat(np.arange(len(many)), many)
+    number = K.spread(np.zeros(len(many), np.int64), many)
+    at = starts[text] + chunk * number
+    size = np.minimum(chunk + 1, starts[text] + lengths[text] - at)
+    alpha = _unit(p.first * p.emit[classes[at]])
+    beta = np.ones((len(at), len(p.first)))
+    long = np.flatnonzero(many[text] > 1)
+    if len(long):
+        product = np.zeros((len(at), len(p.first), len(p.first)))
+        product[long] = _transfers(classes, at[long], size[long], p)
+        for k in range(1, int(many.max())):
+            lane = np.flatnonzero(number == k)
+            alpha[lane] = _unit(np.einsum("ls,lst->lt", alpha[lane - 1], product[lane - 1]))
+        left = many[text] - number
+        for k in range(2, int(many.max()) + 1):
+            lane = np.flatnonzero(left == k)
+            beta[lane] = _unit(np.einsum("lst,lt->ls", product[lane + 1], beta[lane + 1]))
+    return at, size, number > 0, alpha, beta
+
+
+def expected(classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, p: Parameters, chunk: int = CHUNK):
+    """Expected counts (first, step, emit) of the texts classes[start:start + length].
 
     In single precision: every state and step is scaled to sum to 1.
     """
-    order = np.argsort(-lengths, kind="stable")
     n_states = len(p.first)
     first, step, emit = np.zeros(n_states), np.zeros((n_states, n_states)), np.zeros((len(p.emit), n_states))
     if not len(lengths):
         return first, step, emit
-    seen, cut = _by_time(classes, starts[order], lengths[order])
+    at, size, inner, alpha_in, beta_out = _lanes(classes, starts, lengths, p, chunk)
+    order = np.argsort(-size, kind="stable")
+    size, inner, alpha_in, beta_out = size[order], inner[order], alpha_in[order].astype(np.float32), beta_out[order].astype(np.float32)
+    seen, cut = _by_time(classes, at[order], size)
     out = p.emit.astype(np.float32)[seen]
     step32, ones = p.step.astype(np.float32), np.ones(n_states, np.float32)
     alpha, scale = np.empty_like(out), np.empty((len(seen), 1), np.float32)
-    for t in range(len(cut) - 1):
+    alpha[: cut[1]], scale[: cut[1]] = alpha_in, 1
+    for t in range(1, len(cut) - 1):
         i, j = cut[t], cut[t + 1]
-        a = alpha[i:j]
-        if t:
-            np.matmul(alpha[cut[t - 1] : cut[t - 1] + j - i], step32, out=a)
-        else:
-            a[:] = p.first
+        a, s = alpha[i:j], scale[i:j]
+        np.matmul(alpha[cut[t - 1] : cut[t - 1] + j - i], step32, out=a)
         a *= out[i:j]
-        s = scale[i:j]
         s[:, 0] = a @ ones
         a /= s
+    # Lanes that end at time t enter the backward pass with their beta, scaled so that alpha * beta sums to 1.
     beta = np.ones((0, n_states), np.float32)
     for t in range(len(cut) - 2, -1, -1):
         i, j = cut[t], cut[t + 1]
         if j - i > len(beta):
-            beta = np.concatenate([beta, np.ones((j - i - len(beta), n_states), np.float32)])
+            new = beta_out[len(beta) : j - i]
+            beta = np.concatenate([beta, new / (alpha[i + len(beta) : j] * new).sum(axis=1, keepdims=True)])
         if t:
             ahead = out[i:j]
             ahead *= beta
@@ -201,7 +252,8 @@ def expected(classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, p: Pa
         alpha[i:j] *= beta
         if t:
             beta = ahead @ step32.T
-    first += alpha[: cut[1]].sum(axis=0)
+    first += alpha[: cut[1]][~inner].sum(axis=0)
+    alpha[: cut[1]][inner] = 0  # counted by the lane before, whose last token it is
     for s in range(n_states):
         emit[:, s] = np.bincount(seen, alpha[:, s], minlength=len(p.emit))
     return first, step * p.step, emit
@@ -224,13 +276,6 @@ def log_likelihoods(classes: np.ndarray, bounds: np.ndarray, p: Parameters) -> n
     return back
 
 
-def _windows(bounds: np.ndarray, keep: np.ndarray):
-    starts, ends = bounds[:-1][keep], bounds[1:][keep]
-    many = -(-(ends - starts) // CHUNK)
-    at = np.repeat(starts, many) + CHUNK * K.spread(np.zeros(len(many), np.int64), many)
-    return at, np.minimum(at + CHUNK, np.repeat(ends, many)) - at
-
-
 class Model:
     def __init__(self, df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, **sizes):
         """Learns from the rows for which the column ``held_out`` isn't true."""
@@ -239,7 +284,7 @@ class Model:
         rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), F.coalesce(held_out, F.lit(False)).alias("held_out"))
         self.batches = batches = B.Batches(rows, text_col, ws, **sizes)
         first = ws.write("first", batches.ask(_ask(text_col, batches.buckets), "kind string, bucket long, batch long, blob binary"), "kind")
-        self.windows = first.where("kind = 'windows'").select("blob")
+        self.texts = first.where("kind = 'texts'").select("blob")
         asked = first.where("kind = 'words'").select("bucket", "batch", "blob")
         answers = ws.write("counts", B.answer(asked, _count, "kind string, batch long, bucket long, blob binary, class long, n long, v long"), "kind")
         self.counts = answers.where("kind = 'count'").select("batch", "bucket", "blob")
@@ -267,7 +312,7 @@ class Model:
             kind = np.concatenate([[-1], np.full(states, -2) - np.arange(states), some])
             yield pa.RecordBatch.from_pydict({"kind": kind, "x": pa.array(list(values), pa.list_(pa.float64()))})
 
-        sums = self.windows.mapInArrow(run, "kind long, x array<double>")
+        sums = self.texts.mapInArrow(run, "kind long, x array<double>")
         total = sums.groupBy("kind").agg(*(F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(states)))
         first, step, emit = np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES, states))
         for r in total.collect():  # CLASSES + states + 1 rows at most

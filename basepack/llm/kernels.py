@@ -115,8 +115,8 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def ranks(keys: np.ndarray) -> np.ndarray:
-    """Dense ranks of integer keys."""
-    order = np.argsort(keys, kind="stable")
+    """Dense ranks of integer keys.  Equal keys have equal ranks, so the sort need not be stable, and is several times faster."""
+    order = np.argsort(keys)
     s = keys[order]
     step = np.zeros(len(s), np.int32)
     step[1:] = s[1:] != s[:-1]
@@ -124,3 +124,10 @@ def ranks(keys: np.ndarray) -> np.ndarray:
     out = np.empty(len(keys), np.int32)
     out[order] = np.cumsum(step, dtype=np.int32)
     return out
+
+
+def stable_order(keys: np.ndarray) -> np.ndarray:
+    """Stable order of keys from 0 to 2^31 - 1, fewer than 2^32 of them: place and key sort as one number."""
+    both = (keys.astype(np.int64) << 32) | np.arange(len(keys))
+    both.sort()
+    return both & 0xFFFFFFFF

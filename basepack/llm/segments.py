@@ -26,8 +26,6 @@ from . import kernels as K
 HOT_BATCHES = 64
 #: Bytes of text for each shard.
 SHARD_BYTES = 1 << 20
-#: Parts of a shard, by anchor, that are matched one after another.
-PARTS = 16
 #: Symbols of which anchors are computed at once.
 PART_SYMBOLS = 1 << 19
 _SCHEMA = "kind string, bucket long, batch long, blob binary"
@@ -130,10 +128,10 @@ def _spans(batch: int, runs: Runs, window: int) -> Iterator[dict]:
         yield {"kind": ["span"], "bucket": [None], "batch": [batch], "blob": [B.pack(np.stack([runs.start, runs.end + window]).astype(np.int64).tobytes())]}
 
 
-def _to_shards(batch: int, runs: Runs, shards: int) -> Iterator[dict]:
+def _to_shards(batch: int, runs: Runs, shards: int, parts: int) -> Iterator[dict]:
     for b, at in B.by_bucket(B.bucket_of(runs.route, shards)):
         r = runs.take(at)
-        yield {"kind": ["segment"], "bucket": [b], "batch": [batch], "blob": [_pack([r.who, r.local, r.start, np.array([len(x) for x in r.pieces], np.int32), (r.route % np.uint64(PARTS)).astype(np.uint8)], b"".join(r.pieces))]}
+        yield {"kind": ["segment"], "bucket": [b], "batch": [batch], "blob": [_pack([r.who, r.local, r.start, np.array([len(x) for x in r.pieces], np.int32), (r.route % np.uint64(parts)).astype(np.uint8)], b"".join(r.pieces))]}
 
 
 def _windows(read: Callable, text_col: str, pieces: list[bytes], window: int) -> tuple[Block, np.ndarray, np.ndarray]:
@@ -147,7 +145,7 @@ def _windows(read: Callable, text_col: str, pieces: list[bytes], window: int) ->
     return block, at, np.concatenate(hashed)
 
 
-def _segments(read: Callable, id_col: str, text_col: str, window: int, k: int, shards: int, buckets: int, within: bool):
+def _segments(read: Callable, id_col: str, text_col: str, window: int, k: int, shards: int, parts: int, buckets: int, within: bool):
     """within: a start counts as earlier in the same document also."""
 
     def run(batch: int, table: pa.Table, answers: pa.Table) -> Iterator[dict]:
@@ -165,7 +163,7 @@ def _segments(read: Callable, id_col: str, text_col: str, window: int, k: int, s
             yield from _spans(batch, runs.take(sure), window)
             runs = runs.take(send)
             if not hot:
-                yield from _to_shards(batch, runs, shards)
+                yield from _to_shards(batch, runs, shards, parts)
                 continue
             for b, batch_, blob in ((r["bucket"], r["batch"], r["blob"]) for r in B.ask_repeated(batch, _windows(read, text_col, runs.pieces, window)[2], buckets)):
                 yield {"kind": ["ask"], "bucket": b, "batch": batch_, "blob": blob}
@@ -174,7 +172,7 @@ def _segments(read: Callable, id_col: str, text_col: str, window: int, k: int, s
     return run
 
 
-def _trimmed(read: Callable, text_col: str, window: int, shards: int, within: bool):
+def _trimmed(read: Callable, text_col: str, window: int, shards: int, parts: int, within: bool):
     """What is repeated of the segments of hot anchors."""
 
     def run(batch: int, blob: bytes, answers: pa.Table) -> Iterator[dict]:
@@ -189,7 +187,7 @@ def _trimmed(read: Callable, text_col: str, window: int, shards: int, within: bo
         runs = Runs(who[piece], local[piece] + by, start[piece] + by, start[piece] + by + j - 1 - i, route[piece], [block.piece(a, z + window - 2) for a, z in zip(i.tolist(), j.tolist())])
         send, sure = runs.first(within)
         yield from _spans(batch, runs.take(sure), window)
-        yield from _to_shards(batch, runs.take(send), shards)
+        yield from _to_shards(batch, runs.take(send), shards, parts)
 
     return run
 
@@ -213,8 +211,9 @@ def _matched(match: Callable, window: int, within: bool):
             pieces = [data[i:j] for i, j in zip(lo[at].tolist(), hi[at].tolist())]
             found.append(one(batch[at], who[at], local[at], start[at], pieces))
         batch, begin, end = (np.concatenate(x) for x in zip(*found))
-        for b, at in B.by_bucket(batch):
-            yield {"batch": [b], "blob": [B.pack(np.stack([begin[at], end[at]]).astype(np.int64).tobytes())]}
+        batches, number = np.unique(batch, return_inverse=True)
+        for i, at in B.by_bucket(number):
+            yield {"batch": [batches[i]], "blob": [B.pack(np.stack([begin[at], end[at]]).astype(np.int64).tobytes())]}
 
     def one(batch, who, local, start, pieces):
         """(batch, begin, end) of the covered symbols of one part of a shard."""
@@ -245,9 +244,9 @@ def _matched(match: Callable, window: int, within: bool):
 
 
 class Repeats:
-    """Symbols of each document that repeated windows cover."""
+    """Symbols of each document that repeated windows cover.  A shard is matched in ``parts``, by anchor, one after another."""
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, read: Callable, match: Callable, window: int, k: int, within: bool, name: str, hot: int = HOT_BATCHES, shard_bytes: int = SHARD_BYTES, **sizes):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, read: Callable, match: Callable, window: int, k: int, within: bool, name: str, parts: int, hot: int = HOT_BATCHES, shard_bytes: int = SHARD_BYTES, **sizes):
         self.ws = ws = Workspace(df.sparkSession, name)
         self.schema = df.schema
         self.read = read
@@ -259,11 +258,11 @@ class Repeats:
             yield from B.ask_repeated(batch, _anchors(read(table), window, k)[2], buckets)
 
         codes = B.repeated(batches.ask(ask, B.ASK_REPEATED), hot)
-        found = ws.write("found", batches.give(codes, _segments(read, id_col, text_col, window, k, shards, buckets, within), _SCHEMA), "kind")
+        found = ws.write("found", batches.give(codes, _segments(read, id_col, text_col, window, k, shards, parts, buckets, within), _SCHEMA), "kind")
         asked = found.where("kind = 'ask'").select("bucket", "batch", "blob")
         if not asked.isEmpty():
             hot_runs = found.where("kind = 'hot'").select("batch", "blob")
-            trimmed = ws.write("trimmed", B.give_rows(hot_runs, B.repeated(asked, hot), _trimmed(read, text_col, window, shards, within), _SCHEMA), "kind")
+            trimmed = ws.write("trimmed", B.give_rows(hot_runs, B.repeated(asked, hot), _trimmed(read, text_col, window, shards, parts, within), _SCHEMA), "kind")
             found = found.where("kind in ('span', 'segment')").unionByName(trimmed)
         matched = B.answer(found.where("kind = 'segment'").select("bucket", "batch", "blob"), _matched(match, window, within), "batch long, blob binary")
         self.spans = found.where("kind = 'span'").select("batch", "blob").union(matched)

@@ -31,6 +31,8 @@ from .segments import Block, Repeats, Shard
 
 WINDOW = 20
 GRAM = 6
+#: Parts of a shard; an index is the faster the more segments stream through it at once.
+PARTS = 4
 
 
 def read_words(text_col: str):
@@ -117,7 +119,7 @@ def suffix_order(text: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]
         key[:-span] += ranks[-1][span:] + np.int64(1)
         ranks.append(K.ranks(key))
         span *= 2
-    order = np.argsort(ranks.pop(), kind="stable")
+    order = np.argsort(ranks.pop())
     p, q = order[:-1].copy(), order[1:].copy()
     common = np.zeros(len(p), np.int64)
     for rank in reversed(ranks):
@@ -235,7 +237,7 @@ def match(window: int):
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, **sizes) -> Repeats:
-    return Repeats(df, id_col, text_col, read_words(text_col), match(window), window, gram, True, "substring", **sizes)
+    return Repeats(df, id_col, text_col, read_words(text_col), match(window), window, gram, True, "substring", PARTS, **sizes)
 
 
 def _kept(block: Block, mask: np.ndarray):

@@ -24,6 +24,8 @@ from .segments import Block, Repeats, Shard
 
 WINDOW = 50
 GRAM = 20
+#: Parts of a shard; sorting is faster where a part fits the processor's cache.
+PARTS = 16
 
 _TABLE = K.mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -109,7 +111,7 @@ def match(window: int):
         seg = np.repeat(np.arange(len(sizes)), sizes - window + 1)
         depth = depth_of(window)
         rank = suffix_ranks(x, depth)
-        order = np.argsort(rank[depth][starts], kind="stable")
+        order = np.argsort(rank[depth][starts])
         at, owner = starts[order], seg[order]
         value = shard.first[owner]
         lcp = np.zeros(len(at), np.int64)
@@ -131,7 +133,7 @@ def match(window: int):
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, **sizes) -> Repeats:
-    return Repeats(df, id_col, text_col, read_bytes(text_col), match(window), window, gram, False, "suffix", **sizes)
+    return Repeats(df, id_col, text_col, read_bytes(text_col), match(window), window, gram, False, "suffix", PARTS, **sizes)
 
 
 def _each(block: Block, mask: np.ndarray):
