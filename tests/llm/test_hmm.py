@@ -68,8 +68,50 @@ def test_expected_counts():
                 out[classes[a + t], path[t]] += x / total
                 if t:
                     step[path[t - 1], path[t]] += x / total
-    for got, expected in zip(hmm.expected(classes, np.array([0, 4]), n, p), (first, step, out)):
-        assert np.allclose(got, expected, atol=1e-5)
+    for chunk in (1, 2, 3, 4, 100):
+        for got, expected in zip(hmm.expected(classes, np.array([0, 4]), n, p, chunk), (first, step, out)):
+            assert np.allclose(got, expected, atol=1e-5)
+
+
+def test_borders_of_lanes_leave_no_trace():
+    """Long texts in lanes of any length give the counts that they give in one."""
+    rng = np.random.default_rng(5)
+    emit = rng.random((30, 5)) ** 4
+    p = hmm.Parameters((f := rng.random(5)) / f.sum(), (s := rng.random((5, 5)) ** 3) / s.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    lengths = np.array([1, 700, 2, 33, 1500, 64, 65, 66, 1, 128])
+    classes, starts = rng.integers(0, 30, lengths.sum()), np.cumsum(lengths) - lengths
+    whole = hmm.expected(classes, starts, lengths, p, 1 << 20)
+    assert whole[0].sum() == pytest.approx(len(lengths), rel=1e-4)
+    assert whole[1].sum() == pytest.approx((lengths - 1).sum(), rel=1e-4) and whole[2].sum() == pytest.approx(lengths.sum(), rel=1e-4)
+    for chunk in (1, 7, 64, 500):
+        for got, expected in zip(hmm.expected(classes, starts, lengths, p, chunk), whole):
+            assert np.allclose(got, expected, rtol=2e-3, atol=2e-3)
+
+
+def test_scores_end_to_end(frame):
+    """A score is the words' probabilities in their classes times the sum over all paths, with the learned parameters."""
+    rows = [(1, "the cat sat"), (2, "the dog sat on the cat"), (4, "a dog"), (5, None), (5, "the end"), (3, "the cow sat"), (6, "THE dog"), (6, "")]
+    m = model(frame(rows), states=2, rounds=2)
+    p, learning = m.parameters, [t for i, t in rows if i % 3]
+    count = Counter(w for t in learning for w in tokens(t))
+    of = lambda w: 0 if w is None else hmm.word_class(w)
+    total, kinds = Counter(), Counter()
+    for w, n in count.items():
+        total[of(w)] += n
+        kinds[of(w)] += 1
+    got = sorted((r.doc_id, r.n_tokens, r.score) for r in m.scores().collect())
+    expected = []
+    for i, t in rows:
+        x, words = 0.0, tokens(t)
+        for path in itertools.product(range(2), repeat=len(words)):
+            y = p.first[path[0]]
+            for k, w in enumerate(words):
+                y *= (p.step[path[k - 1], path[k]] if k else 1) * p.emit[of(w), path[k]]
+            x += y
+        expected.append((i, len(words), math.log10(x) + sum(math.log10((count[w] + 1) / (total[of(w)] + kinds[of(w)] + 1)) for w in words)))
+    assert len(got) == len(rows)
+    for g, e in zip(got, sorted(expected)):
+        assert g == pytest.approx(e)
 
 
 def test_better_than_base_on_held_out(spark, sf):
