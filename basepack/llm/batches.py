@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
+from . import caches
 from . import kernels as K
 
 #: Bytes of text of a batch.  A longer document is a batch of its own.
@@ -107,6 +108,7 @@ class Batches:
                 for batch, payload in zip(rows.column("batch").to_pylist(), rows.column("payload")):
                     for out in fn(batch, from_payload(payload.as_py())):
                         yield pa.RecordBatch.from_pydict(out, types)
+            caches.trim()
 
         return self.table.select("batch", "payload").mapInArrow(run, schema)
 

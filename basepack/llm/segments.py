@@ -23,11 +23,11 @@ from ..workspace import Workspace
 from . import batches as B
 from . import kernels as K
 
-HOT_BATCHES = 64
+HOT_BATCHES = 1000
 #: Bytes of text for each shard.
 SHARD_BYTES = 1 << 20
 #: Symbols of which anchors are computed at once.
-PART_SYMBOLS = 1 << 19
+PART_SYMBOLS = 1 << 16
 _SCHEMA = "kind string, bucket long, batch long, blob binary"
 
 

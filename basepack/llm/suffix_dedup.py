@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import batches as B
+from . import caches
 from . import kernels as K
 from .names import ddl
 from .segments import Block, Repeats, Shard
@@ -32,6 +33,7 @@ _TABLE = K.mix(np.arange(1, 257, dtype=np.uint64))
 
 def read_bytes(text_col: str):
     def run(table: pa.Table) -> Block:
+        caches.use("bytes")
         texts = B.texts_of(table, text_col)
         data = b"".join(texts)
         bounds = np.zeros(len(texts) + 1, np.int64)
