@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns
@@ -35,12 +35,21 @@ def main(argv: list[str] | None = None) -> None:
             store.compress_zarr(spark, args.source, args.destination, zstd_level=args.zstd_level, overwrite=args.overwrite)
         else:
             store.decompress_zarr(spark, args.source, args.destination, overwrite=args.overwrite)
-    except (FileExistsError, FileNotFoundError, RuntimeError, ValueError) as error:
+    except (OSError, RuntimeError, ValueError) as error:  # what a refused path, a bad file or a bad setting raises here
         parser.error(str(error))
-    took = F.lit(time.perf_counter() - began)
-    stats = store.store_statistics(spark, args.destination)
-    r = stats.select("*", columns.format_duration(took).alias("elapsed"), columns.format_bytes(F.col("apparent_bytes")).alias("size")).first()
-    print(f"Done: {r.chromosomes} records, {r.logical_bases} bases, {r['size']} ({r.compressor}), {r.elapsed}")
+    took = time.perf_counter() - began
+    out = _described(store.store_statistics(spark, args.destination), took)
+    lines = [f"Completed: {args.command}", f"Source: {args.source}", f"Destination: {args.destination}", f"Elapsed: {out['elapsed']} ({took:.3f} seconds)", f"Chromosomes: {out['chromosomes']:,}", f"Logical bases: {out['logical_bases']:,}"]
+    lines += [f"Packed 4-bit data: {out['packed']}", f"Zarr format: {out['zarr_format']}", f"Compression: {out['compressor']}", f"Destination apparent size: {out['apparent']}", f"Destination allocated size: {out['allocated']}"]
+    if args.command != "fasta-to-zstd":
+        source = _described(store.store_statistics(spark, args.source), took)
+        lines += [f"Source Zarr format: {source['zarr_format']}", f"Source apparent size: {source['apparent']}"]
+    print("\n".join(lines))
+
+
+def _described(stats: DataFrame, took: float) -> dict:
+    sizes = {"packed": "packed_bytes", "apparent": "apparent_bytes", "allocated": "allocated_bytes"}
+    return stats.select("*", columns.format_duration(F.lit(took)).alias("elapsed"), *(columns.format_bytes(F.coalesce(c, F.lit(0))).alias(n) for n, c in sizes.items())).first().asDict()
 
 
 if __name__ == "__main__":

@@ -1,4 +1,8 @@
-"""Compressors of chunks, by name.  All are lossless; an ``lz4`` chunk's size comes from its geometry."""
+"""Compressors of chunks, by name.  All are lossless.
+
+``lz4`` is the frame format; ``lz4_block`` is the block format behind its size as a little-endian
+32-bit number, as Zarr's codec of that name writes it.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ import zlib
 from collections.abc import Callable
 
 #: Levels are fixed values.
-NAMES = ("none", "zlib", "gzip", "bz2", "lzma", "lz4", "zstd")
+NAMES = ("none", "zlib", "gzip", "bz2", "lzma", "lz4", "lz4_block", "zstd")
 ZSTD_LEVEL = 3
 
 
@@ -29,6 +33,11 @@ def compressor(name: str, level: int | None = None) -> Callable[[bytes], bytes]:
 
         codec = pa.Codec("lz4")
         return lambda x: codec.compress(x, asbytes=True)
+    if name == "lz4_block":
+        import pyarrow as pa
+
+        block = pa.Codec("lz4_raw")
+        return lambda x: len(x).to_bytes(4, "little") + block.compress(x, asbytes=True)
     if name == "zstd":
         import zstandard
 
@@ -46,8 +55,12 @@ def decompressor(name: str) -> Callable[[bytes, int], bytes]:
     if name == "lz4":
         import pyarrow as pa
 
-        codec = pa.Codec("lz4")
-        return lambda x, n: codec.decompress(x, n, asbytes=True)
+        return lambda x, n: pa.input_stream(pa.py_buffer(x), compression="lz4").read()
+    if name == "lz4_block":
+        import pyarrow as pa
+
+        block = pa.Codec("lz4_raw")
+        return lambda x, n: block.decompress(x[4:], int.from_bytes(x[:4], "little"), asbytes=True)
     if name == "zstd":
         import zstandard
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Labels of encodings in stores' folder names.
-ALIASES = {"4bit": "4bit", "fourbit": "4bit", "2bit": "2bit", "2bit_flag": "2bit", "twobit": "2bit", "zarr": "zarr", "uint8": "uint8"}
+ALIASES = {"zarr": "zarr", "zarrdataset": "zarr", "4bit": "4bit", "fourbit": "4bit", "fourbitdataset": "4bit", "2bit": "2bit", "twobit": "2bit", "twobitdataset": "2bit"}
 
 
 def latency(seconds: Column) -> list[Column]:
@@ -41,18 +41,42 @@ def gib(size: Column) -> Column:
 
 
 def storage_profile(files: DataFrame) -> DataFrame:
-    """Sizes by (architecture, layout) from (path, length); sequence and flag files of a layout add up.
+    """Sizes by (architecture, layout) from (path, length[, allocated]); sequence and flag files of a layout add up.
 
-    ``<arch>.bin`` in a folder of flat files is one layout; chunks are in ``<arch>_<size>.zarr/c``.
+    ``<arch>/<name>.bin`` is the flat layout; chunks are in ``<arch>_<size>.zarr/c``.  Folders of either
+    two-bit component are architecture ``2bit_flag``.
     """
-    flat = F.regexp_extract("path", r"([^/]+)\.bin$", 1)
+    flat = F.regexp_extract("path", r"([^/]+)/[^/]+\.bin$", 1)
     store = F.regexp_extract("path", r"([^/]+)\.zarr/c/", 1)
-    folder = F.regexp_extract("path", r"([^/]+)/[^/]+\.bin$", 1)
-    clean = lambda c: F.regexp_replace(c, r"_(seq|flag)(?=_|$)", "")
-    arch = F.when(flat != "", clean(folder)).otherwise(F.regexp_replace(clean(store), r"_[^_]*$", ""))
-    layout = F.when(flat != "", F.lit("flat")).otherwise(F.element_at(F.split(store, "_"), -1))
-    rows = files.where((flat != "") | (store != "")).select(arch.alias("architecture"), layout.alias("layout"), "length")
-    return rows.groupBy("architecture", "layout").agg(F.sum("length").alias("apparent_bytes"), F.count("*").alias("files")).orderBy("architecture", "layout")
+    words = F.split(store, "_")
+    arch = F.when(flat != "", F.when(flat.contains("2bit_flag"), F.lit("2bit_flag")).otherwise(flat))
+    arch = arch.otherwise(F.when(F.arrays_overlap(F.slice(words, F.lit(1), F.greatest(F.lit(0), F.size(words) - 1)), F.array(F.lit("seq"), F.lit("flag"))), F.lit("2bit_flag")).otherwise(words[0]))
+    layout = F.when(flat != "", F.lit("flat")).otherwise(F.element_at(words, -1))
+    rows = files.where((flat != "") | (store != "")).select(arch.alias("architecture"), layout.alias("layout"), *(c for c in ("length", "allocated") if c in files.columns))
+    sums = [F.sum("length").alias("apparent_bytes"), *([F.sum("allocated").alias("physical_bytes")] if "allocated" in files.columns else []), F.count("*").alias("files")]
+    return rows.groupBy("architecture", "layout").agg(*sums).orderBy("architecture", "layout")
+
+
+def matching(results: DataFrame, **chosen) -> DataFrame:
+    """The results that have these values; a list admits each of its values, None a null."""
+    for name, value in chosen.items():
+        column = F.col(name)
+        results = results.where(column.isin(value) if isinstance(value, (list, tuple)) else column.eqNullSafe(F.lit(value)))
+    return results
+
+
+def facets(results: DataFrame, *names: str) -> DataFrame:
+    """(name, value) of all distinct values of some columns, as strings; one aggregation."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in names)))
+    return results.select(each.alias("f")).select("f.*").distinct()
+
+
+def has_breakdown(results: DataFrame, names: tuple[str, ...] = ("avg_read_latency_ms", "avg_decompress_latency_ms")) -> bool:
+    """Whether all results have the split of latencies: the columns are there, without null or NaN."""
+    if any(n not in results.columns for n in names):
+        return False
+    bad = [F.col(n).isNull() | F.isnan(F.col(n).cast("double")) for n in names]
+    return results.where(bad[0] | bad[1] if len(bad) == 2 else bad[0]).isEmpty()
 
 
 def first_pivot(df: DataFrame, by: str, column: str, values: list, value: str) -> DataFrame:

@@ -19,12 +19,18 @@ from .chunks import CHUNK_BASES, missing_chunks
 SCHEMA = "genome-zarr-4bit"
 SCHEMA_VERSION = 1
 ARCHITECTURE = "4bit"
-ENCODING = "4bit"
-BASE_CODES = {"A": 0, "C": 1, "G": 2, "T": 3, "N": 4}
+#: Of an array, and of a group; fixed values, as are the names of the codes.
+ARRAY_ENCODING = "4bit"
+GROUP_ENCODING = "two 4-bit base codes per uint8; first base is high nibble"
+BASE_CODES = {"A": 0, "C": 1, "G": 2, "T": 3, "N_or_unknown": 4}
+
+
+#: Folders of the legacy layout; fixed values.
+LEGACY_FOLDERS = {"uint8": "uint8", "legacy_uint8": "uint8", "4bit": "4bit", "legacy_4bit": "4bit", "2bit_seq": "2bit_flag_seq", "2bit_flag": "2bit_flag_flag", "legacy_2bit_seq": "2bit_flag_seq", "legacy_2bit_flag": "2bit_flag_flag"}
 
 
 def group_attributes(chunk_bases: int, compressor: str) -> dict:
-    return {"schema": SCHEMA, "schema_version": SCHEMA_VERSION, "architecture": ARCHITECTURE, "encoding": ENCODING, "base_codes": BASE_CODES, "logical_chunk_bases": chunk_bases, "compressor": compressor}
+    return {"schema": SCHEMA, "schema_version": SCHEMA_VERSION, "architecture": ARCHITECTURE, "encoding": GROUP_ENCODING, "base_codes": BASE_CODES, "logical_chunk_bases": chunk_bases, "compressor": compressor}
 
 
 def pack_lines(lines: DataFrame, component: str = "4bit", chunk_bases: int = CHUNK_BASES) -> DataFrame:
@@ -55,7 +61,7 @@ def fasta_to_zstd(spark: SparkSession, fasta_path: str, destination: str, *, chu
     arrays = []
     for r in found:
         shape = codes.encoded_length("4bit", r.logical_length)
-        arrays.append({"array": r.name, "shape": shape, "chunk_bytes": max(1, min(shape, chunk_bases // 2)), "attributes": {"logical_length": r.logical_length, "encoding": ENCODING}})
+        arrays.append({"array": r.name, "shape": shape, "chunk_bytes": max(1, min(shape, chunk_bases // 2)), "attributes": {"logical_length": r.logical_length, "encoding": ARRAY_ENCODING}})
     return zarr3.write_group(destination, group_attributes(chunk_bases, "zstd"), arrays, chunks, "zstd", zstd_level, overwrite)
 
 
@@ -116,8 +122,9 @@ def legacy_chunks(records: DataFrame, arch: str, chunk_bases: int, existing: Dat
     ``existing``: (array, component, chunk_idx) that are there already and are left out.
     """
     n = F.ceil(F.length("seq") / F.lit(chunk_bases)).cast("int")
-    pieces = records.where(F.length("seq") > 0).select(F.col("name").alias("array"), "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    pieces = pieces.select("array", F.col("i").cast("long").alias("chunk_idx"), F.col("seq").substr(F.col("i") * chunk_bases + 1, F.lit(chunk_bases)).alias("s"))
+    # Cut within the row, so that no row carries more than its own piece behind the explode.
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), F.col("seq").substr(i * chunk_bases + 1, F.lit(chunk_bases)).alias("s")))
+    pieces = records.where(F.length("seq") > 0).select(F.col("name").alias("array"), F.explode(cut).alias("c")).select("array", F.col("c.i").cast("long").alias("chunk_idx"), "c.s")
     out = None
     for component in codes.ARCHITECTURES[arch]:
         part = pieces.withColumn("component", F.lit(component))
@@ -126,3 +133,33 @@ def legacy_chunks(records: DataFrame, arch: str, chunk_bases: int, existing: Dat
         part = part.select("array", "component", "chunk_idx", columns.padded(columns.encode(F.col("s"), component)).alias("payload"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def write_legacy(records: DataFrame, root: str, arch: str, chunk_bases: int, size_label: str) -> dict:
+    """The legacy layout on disk: ``mmap_data/<folder>/<name>.bin``, a whole record padded to sectors, and
+    ``zarr_data/<folder>_<size>.zarr/c/<name>_<i>``; what is there already is not written again.
+
+    Records whose names begin with ``chr`` only.  Gives the numbers of files written.
+    """
+    spark = records.sparkSession
+    ship(spark)
+    some = fasta.with_prefix(records, "chr")
+
+    def put(it):
+        for b in it:
+            n = 0
+            for path, payload in zip(b.column("path").to_pylist(), b.column("payload").to_pylist()):
+                if not files.exists(path):
+                    files.write(path, payload)
+                    n += 1
+            yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    written = {"flat": 0, "chunks": 0}
+    for component in codes.ARCHITECTURES[arch]:
+        folder = LEGACY_FOLDERS[component]
+        flat = some.where(F.length("seq") > 0).select(F.concat(F.lit(f"{root}/mmap_data/{folder}/"), F.col("name"), F.lit(".bin")).alias("path"), columns.padded(columns.encode(F.col("seq"), component)).alias("payload"))
+        rows = legacy_chunks(some, arch, chunk_bases).where(F.col("component") == component)
+        chunk = rows.select(F.concat(F.lit(f"{root}/zarr_data/{folder}_{size_label}.zarr/c/"), F.col("array"), F.lit("_"), F.col("chunk_idx").cast("string")).alias("path"), "payload")
+        written["flat"] += flat.mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+        written["chunks"] += chunk.mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+    return written

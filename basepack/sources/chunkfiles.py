@@ -50,11 +50,25 @@ def read_store(spark: SparkSession, path: str, arch: str, compressor: str, chunk
     return rows.select(F.regexp_extract("file", pattern, 1).alias("array"), component.alias("component"), F.regexp_extract("file", pattern, 3).cast("long").alias("chunk_idx"), columns.decompress(F.col("content"), F.lit(chunk_bytes), compressor).alias("payload"))
 
 
+def sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, allocated) of all files below a folder; allocated bytes are of local files only."""
+    ship(spark)
+
+    def stat(it):
+        for b in it:
+            taken = [files.allocated(f"{path}/{p}") for p in b.column("path").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"path": b.column("path"), "length": b.column("length"), "allocated": pa.array(taken, pa.int64())})
+
+    return files.listing(spark, path).mapInArrow(stat, "path string, length long, allocated long")
+
+
 def storage_bytes(spark: SparkSession, path: str) -> dict:
-    """Apparent bytes and number of all files below a store, the done-marker included."""
-    size, n = files.listing(spark, path).agg(F.sum("length"), F.count("*")).first()
+    """Apparent and allocated bytes and number of all files below a store, the done-marker included."""
+    size, taken, n = sizes(spark, path).agg(F.sum("length"), F.sum("allocated"), F.count("*")).first()
     marker = files.read(f"{path}/{DONE}")  # Spark lists no file whose name begins with a dot
-    return {"apparent_bytes": (size or 0) + len(marker or b""), "file_count": n + (marker is not None)}
+    if marker is not None:
+        size, taken, n = (size or 0) + len(marker), (taken or 0) + (files.allocated(f"{path}/{DONE}") or 0), n + 1
+    return {"apparent_bytes": size or 0, "physical_bytes": taken or 0, "file_count": n}
 
 
 def write_results(df: DataFrame, path: str) -> bool:

@@ -2,7 +2,8 @@
 
 A range is read with the lines that start in it.  What a range needs from those before it, the
 record that is open and its bases so far, comes from a running sum over one small row a range; so a
-chromosome of any length is read by many tasks, and no sequence is ever one row.
+chromosome of any length is read by many tasks.  A line is a row: a file without line breaks in its
+sequences gives rows as long as its records.
 """
 
 from __future__ import annotations
@@ -151,6 +152,21 @@ def records(spark: SparkSession, path: str, size: int = RANGE_BYTES) -> DataFram
     return out
 
 
+def with_prefix(found: DataFrame, prefix: str = "chr") -> DataFrame:
+    """Records whose names begin with ``prefix``."""
+    return found.where(F.col("name").startswith(prefix))
+
+
+def wanted(found: DataFrame, names: DataFrame) -> DataFrame:
+    """The records that ``names`` (name) asks for."""
+    return found.join(names.select("name").distinct(), "name", "left_semi")
+
+
+def missing(found: DataFrame, names: DataFrame) -> DataFrame:
+    """The names asked for that no record has."""
+    return names.select("name").distinct().join(found.select("name"), "name", "left_anti")
+
+
 def read_fai(spark: SparkSession, fasta: str) -> DataFrame | None:
     """(name, length) from the index beside a FASTA file, or None; rows of fewer than two fields are left out."""
     if not files.exists(f"{fasta}.fai"):
@@ -159,14 +175,14 @@ def read_fai(spark: SparkSession, fasta: str) -> DataFrame | None:
     return rows.where(F.size("f") >= 2).select(F.col("f")[0].alias("name"), "ordinal", F.col("f")[1].cast("long").alias("logical_length"))
 
 
-def select_chromosomes(spark: SparkSession, fasta: str, wanted: list[str]) -> DataFrame:
+def select_chromosomes(spark: SparkSession, fasta: str, chosen: list[str]) -> DataFrame:
     """Records by name, from the index if there is one; ``["all"]`` is all; missing names are an error."""
     found = read_fai(spark, fasta)
     found = records(spark, fasta) if found is None else found
-    if wanted == ["all"]:
+    if chosen == ["all"]:
         return found
-    names = spark.createDataFrame([(w,) for w in wanted], "name string").distinct()
-    missing = names.join(found, "name", "left_anti").agg(F.array_sort(F.collect_set("name"))).first()[0]
-    if missing:
-        raise ValueError(f"missing chromosomes: {', '.join(missing)}")
-    return found.join(names, "name", "left_semi")
+    names = spark.createDataFrame([(w,) for w in chosen], "name string").distinct()
+    lost = missing(found, names).agg(F.array_sort(F.collect_set("name"))).first()[0]
+    if lost:
+        raise ValueError(f"missing chromosomes: {', '.join(lost)}")
+    return wanted(found, names)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
 from urllib.parse import urlparse
 
@@ -34,6 +35,18 @@ def exists(uri: str) -> bool:
     return fs.get_file_info(path).type != pafs.FileType.NotFound
 
 
+def folders(uri: str) -> list[str]:
+    """Names of the folders in a folder."""
+    fs, path = opened(uri)
+    return sorted(i.base_name for i in fs.get_file_info(pafs.FileSelector(path)) if i.type == pafs.FileType.Directory)
+
+
+def allocated(uri: str) -> int | None:
+    """Bytes that a local file takes on its disk; None elsewhere."""
+    fs, path = opened(uri)
+    return os.stat(path).st_blocks * 512 if isinstance(fs, pafs.LocalFileSystem) else None
+
+
 def remove(uri: str) -> None:
     fs, path = opened(uri)
     kind = fs.get_file_info(path).type

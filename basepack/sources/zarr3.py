@@ -1,4 +1,4 @@
-"""Zarr v3 groups of one-dimensional uint8 arrays, read and written as tables of chunks.
+"""Zarr groups and bare arrays of one-dimensional uint8, as tables of chunks: format 3, and format 2 to read.
 
 Chunks are read by Spark's binary files, so any file system that Spark knows will do.  A chunk file
 holds a whole chunk, padded with zeros at the array's end; a missing file is a chunk of zeros.
@@ -20,7 +20,9 @@ from ..workspace import ship
 from . import files
 
 #: Names of codecs in array metadata; fixed values.
-CODECS = {"zstd": "zstd", "gzip": "gzip", "zlib": "numcodecs.zlib", "bz2": "numcodecs.bz2", "lzma": "numcodecs.lzma"}
+CODECS = {"zstd": "zstd", "gzip": "gzip", "zlib": "numcodecs.zlib", "bz2": "numcodecs.bz2", "lzma": "numcodecs.lzma", "lz4_block": "numcodecs.lz4"}
+#: Identifiers of the same in format 2.
+IDS = {"zstd": "zstd", "gzip": "gzip", "zlib": "zlib", "bz2": "bz2", "lzma": "lzma", "lz4": "lz4_block"}
 ARRAYS = "array string, shape long, chunk_bytes long, compressor string, attributes string"
 
 
@@ -30,7 +32,7 @@ def _codecs(name: str, level: int | None) -> list[dict]:
         return out
     if name not in CODECS:
         raise ValueError(f"no Zarr codec for compressor {name}")
-    config = {"zstd": {"level": 3 if level is None else level, "checksum": False}, "lzma": {"preset": 6}}.get(name, {"level": 6 if level is None else level})
+    config = {"zstd": {"level": 3 if level is None else level, "checksum": False}, "lzma": {"preset": 6}, "lz4_block": {"acceleration": 1}}.get(name, {"level": 6 if level is None else level})
     return [*out, {"name": CODECS[name], "configuration": config}]
 
 
@@ -56,15 +58,32 @@ def _compressor_of(node: dict) -> str:
     return known[names[0]] if names else "none"
 
 
+def _row(name: str, node: dict, attributes: dict) -> tuple:
+    """(array, shape, chunk bytes, compressor, attributes) of an array's metadata, of either format."""
+    three = node.get("zarr_format") == 3
+    if len(node["shape"]) != 1 or (node["data_type"] if three else node["dtype"].lstrip("|<>")) not in ("uint8", "u1"):
+        raise ValueError(f"not a one-dimensional uint8 array: {name}")
+    if three:
+        return name, node["shape"][0], node["chunk_grid"]["configuration"]["chunk_shape"][0], _compressor_of(node), json.dumps(attributes)
+    codec = (node.get("compressor") or {"id": "none"})["id"]
+    if node.get("filters") or codec not in (*IDS, "none"):
+        raise ValueError(f"unsupported codecs: {codec}, {node.get('filters')}")
+    return name, node["shape"][0], node["chunks"][0], IDS.get(codec, "none"), json.dumps(attributes)
+
+
+def _json(path: str) -> dict:
+    text = files.read(path)
+    return json.loads(text) if text else {}
+
+
 def read_group(spark: SparkSession, root: str) -> tuple[dict, DataFrame]:
     """(group attributes, arrays): name, shape, chunk bytes, compressor and attributes of each array."""
-    text = files.read(f"{root}/zarr.json")
-    if text is None:
-        raise FileNotFoundError(f"no Zarr group: {root}")
-    group = json.loads(text)
+    ship(spark)
+    group = _json(f"{root}/zarr.json")
+    if not group:
+        return _read_group2(spark, root)
     if group.get("zarr_format") != 3 or group.get("node_type") != "group":
         raise ValueError(f"not a Zarr v3 group: {root}")
-    ship(spark)
     nodes = files.listing(spark, root, True).where(F.col("path").rlike(r"^[^/]+/zarr\.json$"))
 
     def parse(it):
@@ -72,11 +91,8 @@ def read_group(spark: SparkSession, root: str) -> tuple[dict, DataFrame]:
             out = []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 node = json.loads(content)
-                if node.get("node_type") != "array":
-                    continue
-                if len(node["shape"]) != 1 or node["data_type"] != "uint8":
-                    raise ValueError(f"not a one-dimensional uint8 array: {path}")
-                out.append((posixpath.dirname(path), node["shape"][0], node["chunk_grid"]["configuration"]["chunk_shape"][0], _compressor_of(node), json.dumps(node.get("attributes", {}))))
+                if node.get("node_type") == "array":
+                    out.append(_row(posixpath.dirname(path), node, node.get("attributes", {})))
             cols = list(zip(*out)) or [()] * 5
             types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["array", "shape", "chunk_bytes", "compressor", "attributes"])
@@ -84,12 +100,41 @@ def read_group(spark: SparkSession, root: str) -> tuple[dict, DataFrame]:
     return group.get("attributes", {}), nodes.select("path", "content").mapInArrow(parse, ARRAYS)
 
 
-def read_chunks(spark: SparkSession, root: str, arrays: DataFrame) -> DataFrame:
-    """(array, component, chunk_idx, payload) of all chunks, decompressed, trimmed to the array's shape."""
+def _read_group2(spark: SparkSession, root: str) -> tuple[dict, DataFrame]:
+    """A group of format 2, whose metadata files are hidden ones and so are read on the driver: a few for each array."""
+    if not files.exists(f"{root}/.zgroup"):
+        raise FileNotFoundError(f"no Zarr group: {root}")
+    found = [(name, _json(f"{root}/{name}/.zarray")) for name in files.folders(root)]
+    rows = [_row(name, node, _json(f"{root}/{name}/.zattrs")) for name, node in found if node]
+    return _json(f"{root}/.zattrs"), spark.createDataFrame(rows, ARRAYS)
+
+
+def open_any(spark: SparkSession, root: str, array: str | None = None) -> tuple[dict, DataFrame]:
+    """(attributes, arrays) of a group, or of a bare array, whose name is then empty.
+
+    ``array``: this one of a group only; without it a group's arrays are all there.
+    """
+    node = _json(f"{root}/zarr.json")
+    if node.get("node_type") == "array" or files.exists(f"{root}/.zarray"):
+        attributes = node.get("attributes", {}) if node else _json(f"{root}/.zattrs")
+        return attributes, spark.createDataFrame([_row("", node or _json(f"{root}/.zarray"), attributes)], ARRAYS)
+    attributes, arrays = read_group(spark, root)
+    return attributes, arrays if array is None else arrays.where(F.col("array") == array)
+
+
+def read_chunks(spark: SparkSession, root: str, arrays: DataFrame, arch: str = "4bit") -> DataFrame:
+    """(array, component, chunk_idx, payload) of all chunks, decompressed, trimmed to the array's shape.
+
+    Of a ``2bit`` group, arrays ``<name>_seq`` and ``<name>_flag`` are components of ``<name>``.
+    """
+    ship(spark)
     n = F.ceil(F.col("shape") / F.col("chunk_bytes")).cast("long")
-    wanted = arrays.where("shape > 0").select("array", "shape", "chunk_bytes", "compressor", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk_idx"))
-    found = files.listing(spark, root, True).select(F.regexp_extract("path", r"^([^/]+)/c/[0-9]+$", 1).alias("array"), F.regexp_extract("path", r"/c/([0-9]+)$", 1).alias("i"), "content")
-    found = found.where("array <> ''").select("array", F.col("i").cast("long").alias("chunk_idx"), "content")
+    some = arrays.where("shape > 0").select("array", "shape", "chunk_bytes", "compressor", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk_idx"))
+    rows = files.listing(spark, root, True)
+    bare = files.exists(f"{root}/.zarray") or _json(f"{root}/zarr.json").get("node_type") == "array"
+    pattern = r"^(?:c/)?([0-9]+)$" if bare else r"^([^/]+)/(?:c/)?([0-9]+)$"
+    name = F.lit("") if bare else F.regexp_extract("path", pattern, 1)
+    found = rows.where(F.col("path").rlike(pattern)).select(name.alias("array"), F.regexp_extract("path", pattern, 1 if bare else 2).cast("long").alias("chunk_idx"), "content")
 
     def run(it):
         for b in it:
@@ -97,9 +142,13 @@ def read_chunks(spark: SparkSession, root: str, arrays: DataFrame) -> DataFrame:
             for shape, size, name, idx, raw in zip(*(b.column(c).to_pylist() for c in ("shape", "chunk_bytes", "compressor", "chunk_idx", "content"))):
                 full = bytes(size) if raw is None else decompressor(name)(raw, size)
                 out.append(full[: max(0, min(size, shape - idx * size))])
-            yield pa.RecordBatch.from_pydict({"array": b.column("array"), "component": pa.array(["4bit"] * len(out), pa.string()), "chunk_idx": b.column("chunk_idx"), "payload": pa.array(out, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"array": b.column("array"), "chunk_idx": b.column("chunk_idx"), "payload": pa.array(out, pa.binary())})
 
-    return wanted.join(found, ["array", "chunk_idx"], "left").mapInArrow(run, "array string, component string, chunk_idx long, payload binary")
+    chunks = some.join(found, ["array", "chunk_idx"], "left").mapInArrow(run, "array string, chunk_idx long, payload binary")
+    if arch != "2bit":
+        return chunks.select("array", F.lit(arch).alias("component"), "chunk_idx", "payload")
+    part = F.regexp_extract("array", r"^(.*)_(seq|flag)$", 2)
+    return chunks.where(part != "").select(F.regexp_extract("array", r"^(.*)_(seq|flag)$", 1).alias("array"), F.concat(F.lit("2bit_"), part).alias("component"), "chunk_idx", "payload")
 
 
 def write_group(destination: str, attributes: dict, arrays: list[dict], chunks: DataFrame, compressor: str, level: int | None = None, overwrite: bool = False) -> str:
@@ -116,18 +165,22 @@ def write_group(destination: str, attributes: dict, arrays: list[dict], chunks:
 
     def put(it):
         f = compressor_of(compressor, level)
-        n = 0
+        done: dict[str, int] = {}
         for b in it:
             for array, idx, payload, size in zip(*(b.column(c).to_pylist() for c in ("array", "chunk_idx", "payload", "chunk_bytes"))):
                 files.write(f"{temporary}/{array}/c/{idx}", f(payload + bytes(size - len(payload))))
-                n += 1
-        yield pa.RecordBatch.from_pydict({"n": [n]})
+                done[array] = done.get(array, 0) + len(payload)
+        yield pa.RecordBatch.from_pydict({"array": pa.array(done, pa.string()), "n": pa.array(done.values(), pa.int64())})
 
     try:
         files.write(f"{temporary}/zarr.json", json.dumps({"zarr_format": 3, "node_type": "group", "attributes": attributes}, indent=2).encode())
         for name, node in nodes.items():
             files.write(f"{temporary}/{name}/zarr.json", json.dumps(node, indent=2).encode())
-        chunks.select("array", "chunk_idx", "payload").join(sizes, "array").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+        held = chunks.select("array", "chunk_idx", "payload").join(sizes, "array").mapInArrow(put, "array string, n long").groupBy("array").agg(F.sum("n").alias("n")).collect()  # metadata: a row for each array
+        held = {r.array: r.n for r in held}
+        wrong = sorted(a["array"] for a in arrays if held.get(a["array"], 0) != a["shape"])
+        if wrong:
+            raise RuntimeError(f"packed length does not match the array's: {', '.join(wrong)}")
         if overwrite:
             files.remove(destination)
         files.move(temporary, destination)

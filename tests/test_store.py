@@ -125,6 +125,7 @@ def test_chunk_store(spark, tmp_path):
         if arch == "2bit":
             assert list(sample.flag) == [int(c == "N") for c in text[13:103]]
         assert chunkfiles.storage_bytes(spark, path)["file_count"] == chunks.count() + 2
+        assert chunkfiles.storage_bytes(spark, path)["physical_bytes"] > 0
     with pytest.raises(FileNotFoundError):
         chunkfiles.read_store(spark, str(tmp_path / "no"), "4bit", "zstd", 32)
 
@@ -146,6 +147,117 @@ def test_requests(spark):
 def test_cli(spark, file, tmp_path, capsys):
     out = str(tmp_path / "out")
     cli.main(["fasta-to-zstd", file(FASTA), out, "--chunk-bases", "4"])
-    assert "2 records, 10 bases" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert "Chromosomes: 2\n" in said and "Logical bases: 10\n" in said and "Packed 4-bit data: 6.00 B" in said
+    cli.main(["decompress", out, str(tmp_path / "plain")])
+    assert "Source apparent size: " in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main(["decompress", str(tmp_path / "nothing"), str(tmp_path / "b")])
+
+
+def genome(spark):
+    rows = [("chr1", 0, "ACGTNACGGTRY" * 30), ("chr2", 1, "TTANC"), ("other", 2, "ACGT" * 10), ("chr3", 3, "")]
+    return spark.createDataFrame([(n, o, len(s), s) for n, o, s in rows], "name string, ordinal long, logical_length long, seq string")
+
+
+@pytest.mark.parametrize("backend", ["manual", "zarr"])
+@pytest.mark.parametrize(("arch", "compressor"), [("uint8", "zstd"), ("4bit", "lz4"), ("2bit", "none"), ("2bit", "lzma")])
+def test_builds(spark, tmp_path, backend, arch, compressor):
+    """Stores of either backend hold the chunks, and requests read one by one give what the join gives."""
+    from basepack.operators import builds
+    from basepack.operators.chunks import chunk_records
+
+    setting, path = builds.Setting(backend, arch, "32", 32, compressor), str(tmp_path / "s.zarr")
+    assert builds.build_store(genome(spark), path, setting) > 0 == builds.build_store(genome(spark), path, setting)
+    again = builds.open_build(spark, path, setting)
+    expected = chunk_records(genome(spark), arch, 32).where("octet_length(payload) > 0").select("array", "component", "chunk_idx", "payload")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, expected.collect()))
+    requests = spark.createDataFrame([(1, "chr1", 13, 90), (2, "chr1", 0, 32), (3, "other", 31, 9), (4, "chr2", 0, 5)], sampling.REQUESTS)
+    one = {r.req_id: bytes(r.payload) for r in builds.timed_requests(requests, path, setting).collect()}
+    assert one == {r.req_id: bytes(r.payload) for r in windows.read_windows(expected, requests, arch, 32).collect()}
+    got = builds.benchmark(requests, path, setting, warmup=2)
+    assert set(got) == {"throughput_mib_s", "avg_latency_ms", "median_latency_ms", "p95_latency_ms", "p99_latency_ms", "avg_read_latency_ms", "avg_decompress_latency_ms", "wall_seconds"}
+    assert got["avg_read_latency_ms"] > 0 and (got["avg_decompress_latency_ms"] == 0) == (backend == "zarr")
+    with pytest.raises(ValueError):
+        builds.build_store(genome(spark), path, builds.Setting("other", arch, "32", 32))
+
+
+def test_datasets(spark, tmp_path):
+    from basepack import options
+    from basepack.operators import builds
+
+    request = spark.createDataFrame([(1, "chr1", 3, 7)], sampling.REQUESTS)
+    for kind, backend, arch, option in (("FourBitDataset", "manual", "4bit", "dir-4bit"), ("twobit", "manual", "2bit", "dir-2bit"), ("zarr", "zarr", "uint8", "store-path")):
+        path = str(tmp_path / f"{arch}.zarr")
+        builds.build_store(genome(spark), path, builds.Setting(backend, arch, "32", 32, "zstd"))
+        chosen = options.parse(options.DATASET_BENCHMARK, ["--dataset-type", kind, f"--{option}", path + ("/c" if backend == "manual" else "")])
+        read, label, detail = builds.build_dataset(spark, chosen, chosen.window_size if kind != "zarr" else 4)
+        sequence = list(read(request).first().sequence)
+        assert sequence[:4] == [3, 0 if arch == "2bit" else 4, 0, 1] and f"arch: {arch}, compressor: zstd, chunk: 32" in label and path in detail
+    with pytest.raises(ValueError):
+        builds.build_dataset(spark, options.parse(options.DATASET_BENCHMARK, ["--dataset-type", "x"]), 4)
+    found = options.parse(options.STORE_BENCHMARK, ["--chunk-sizes", "1MB", "2MB", "--build-only", "--seed", "7"])
+    assert found.chunk_sizes == ["1MB", "2MB"] and found.build_only and not found.no_plots and found.seed == 7 and found.num_requests == 2000
+
+
+def test_bare_arrays_and_format_2(spark, tmp_path):
+    from basepack.functions.compress import compressor
+    from basepack.sources import files
+
+    data = bytes(range(1, 11))
+    for codec, name in ((None, "none"), ({"id": "lz4"}, "lz4_block"), ({"id": "zstd", "level": 3}, "zstd")):
+        root = str(tmp_path / f"v2{name}")
+        node = {"zarr_format": 2, "shape": [10], "chunks": [4], "dtype": "|u1", "compressor": codec, "fill_value": 0, "order": "C", "filters": None}
+        files.write(f"{root}/.zgroup", b'{"zarr_format": 2}')
+        files.write(f"{root}/.zattrs", b'{"architecture": "uint8"}')
+        files.write(f"{root}/a/.zarray", json.dumps(node).encode())
+        for i in (0, 2):
+            files.write(f"{root}/a/{i}", compressor(name)(data[4 * i : 4 * i + 4].ljust(4, b"\0")))
+        attributes, arrays = zarr3.open_any(spark, root)
+        assert attributes == {"architecture": "uint8"}
+        for at, chosen in ((root, "a"), (f"{root}/a", "")):
+            _, arrays = zarr3.open_any(spark, at, "a" if at == root else None)
+            got = zarr3.read_chunks(spark, at, arrays, "uint8").orderBy("chunk_idx").collect()
+            assert [(r.array, bytes(r.payload)) for r in got] == [(chosen, data[:4]), (chosen, bytes(4)), (chosen, data[8:])]
+    out = str(tmp_path / "v3")
+    store.fasta_to_zstd(spark, _written(tmp_path, FASTA), out, chunk_bases=4)
+    _, arrays = zarr3.open_any(spark, f"{out}/chr1")
+    assert [bytes(r.payload).hex() for r in zarr3.read_chunks(spark, f"{out}/chr1", arrays).orderBy("chunk_idx").collect()] == ["0123", "4440"]
+    with pytest.raises(FileNotFoundError):
+        zarr3.open_any(spark, str(tmp_path))
+
+
+def _written(tmp_path, text):
+    (tmp_path / "w.fa").write_text(text)
+    return str(tmp_path / "w.fa")
+
+
+def test_packed_length_must_match(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", 0, b"12")], "array string, chunk_idx long, payload binary")
+    with pytest.raises(RuntimeError, match="a"):
+        zarr3.write_group(str(tmp_path / "x"), {}, [{"array": "a", "shape": 3, "chunk_bytes": 3, "attributes": {}}], chunks, "none")
+    assert not (tmp_path / "x").exists()
+
+
+def test_legacy_layout(spark, tmp_path):
+    """Flat files and chunks of both components; a second run writes only what is missing; sizes by architecture."""
+    from basepack.operators import metrics
+
+    root = str(tmp_path)
+    assert store.write_legacy(genome(spark), root, "2bit", 64, "64B") == {"flat": 4, "chunks": 14}
+    os.remove(f"{root}/zarr_data/2bit_flag_seq_64B.zarr/c/chr1_1")
+    assert store.write_legacy(genome(spark), root, "2bit", 64, "64B") == {"flat": 0, "chunks": 1}
+    assert os.path.getsize(f"{root}/mmap_data/2bit_flag_flag/chr1.bin") == 4096
+    store.write_legacy(genome(spark), root, "legacy_4bit", 64, "64B")
+    got = metrics.storage_profile(chunkfiles.sizes(spark, root)).collect()
+    assert [(r.architecture, r.layout, r.files) for r in got] == [("2bit_flag", "64B", 14), ("2bit_flag", "flat", 4), ("4bit", "64B", 7), ("4bit", "flat", 2)]
+    assert all(r.apparent_bytes == 4096 * r.files <= r.physical_bytes for r in got)
+
+
+def test_results_filters(spark):
+    from basepack.operators import metrics
+
+    df = spark.createDataFrame([("a", 1, 1.0, 2.0), ("b", 2, 1.0, float("nan")), (None, 2, 3.0, 4.0)], "k string, n int, avg_read_latency_ms double, avg_decompress_latency_ms double")
+    assert metrics.matching(df, k=["a", "b"], n=2).count() == 1 and metrics.matching(df, k=None).count() == 1
+    assert {tuple(r) for r in metrics.facets(df, "k", "n").collect()} == {("k", "a"), ("k", "b"), ("k", None), ("n", "1"), ("n", "2")}
+    assert not metrics.has_breakdown(df) and metrics.has_breakdown(df.where("k = 'a'")) and not metrics.has_breakdown(df.select("k"))
