@@ -4,7 +4,9 @@ Signatures (see ``partitions``) are asked for once, in buckets; only those that
 become rows.  Documents with equal sets are one node.  The nodes of a signature form a star around
 the smallest of them; stars are verified on whole sets and give components.  What then still shares
 a signature across components is compared by foldable sketches, whose differing cells are a lower
-bound of the symmetric difference, so that only pairs that could link are verified.  Together this
+bound of the symmetric difference, so that only pairs that could link are verified.  A group's pairs
+come in turns: the likeliest of each two components first, at most as many as the group has documents,
+then eight times as many each; a pair whose components have met by then is left out.  Together this
 finds every pair that connects components, without listing the pairs inside them.
 
 Null or empty texts and texts without words have no shingles and link with nothing.  Rows that
@@ -14,6 +16,7 @@ repeat a doc_id are documents of their own; a null doc_id counts as larger than
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -141,27 +144,47 @@ def _near(num: int, den: int):
     return run
 
 
-def _could_link(num: int, den: int):
+def _could_link(num: int, den: int, turn: int):
+    """Pairs of a group that could link and that it is the ``turn`` of; a row without a pair if some are left for later turns."""
+
     def run(table: pa.Table) -> pa.Table:
-        row, comp, size, block = (table.column(c).to_numpy() for c in ("row", "comp", "n", "block"))
+        row, comp, now, size, block = (table.column(c).to_numpy() for c in ("row", "comp", "now", "n", "block"))
+        key = [table.column(c)[0].as_py() for c in ("sig", "bi", "bj")]
         raw = table.column("sketch").to_pylist()
         cells = 2 * min(map(len, raw))
         cell = np.stack([fold(x, cells) for x in raw])
-        left, right = block == table.column("bi")[0].as_py(), block == table.column("bj")[0].as_py()
-        a, b = np.flatnonzero(left), np.flatnonzero(right)
-        out_a, out_b = [], []
+        a, b = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+        e = np.empty(0, np.int64)
+        found = [(e, e, e)]
         step = max(1, (8 << 20) // (cells * max(1, len(b))))
         for i in range(0, len(a), step):
             x = a[i : i + step]
             most = _most(num, den, size[x][:, None] + size[b][None, :])
-            ok = (comp[x][:, None] != comp[b][None, :]) & (row[x][:, None] < row[b][None, :] if left is right or (left == right).all() else True) & (np.abs(size[x][:, None] - size[b][None, :]) <= most)
+            ok = (comp[x][:, None] != comp[b][None, :]) & (np.abs(size[x][:, None] - size[b][None, :]) <= most)
+            if key[1] == key[2]:
+                ok &= row[x][:, None] < row[b][None, :]
             if ok.any():
-                ok &= (cell[x][:, None, :] != cell[b][None, :, :]).sum(axis=2) <= most
-                p, q = np.nonzero(ok)
-                out_a.append(row[x][p]), out_b.append(row[b][q])
-        e = np.empty(0, np.int64)
-        p, q = np.concatenate([e, *out_a]), np.concatenate([e, *out_b])
-        return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+                differ = (cell[x][:, None, :] != cell[b][None, :, :]).sum(axis=2)
+                p, q = np.nonzero(ok & (differ <= most))
+                found.append((x[p], b[q], differ[p, q]))
+        p, q, differ = (np.concatenate(x) for x in zip(*found))
+        # The order is the same in every turn: by rank among the pairs of two components, as they are before the first.
+        low, high = np.minimum(comp[p], comp[q]), np.maximum(comp[p], comp[q])
+        order = np.lexsort((row[q], row[p], differ, high, low))
+        new = np.ones(len(order), bool)
+        new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+        head = np.flatnonzero(new)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
+        order = np.lexsort((row[q], row[p], differ, rank))
+        end = lambda t: 0 if t < 0 else min(len(raw) * 8**t, int(np.count_nonzero(rank < 8**t)))
+        some = order[end(turn - 1) : end(turn)]
+        some = some[now[p[some]] != now[q[some]]]
+        later = order[end(turn) :]
+        rest = [None] if (now[p[later]] != now[q[later]]).any() else []
+        p, q = row[p[some]], row[q[some]]
+        keys = [[k] * (len(p) + len(rest)) for k in key]
+        return pa.table({"a": pa.array([*np.minimum(p, q), *rest], pa.int64()), "b": pa.array([*np.maximum(p, q), *rest], pa.int64()), "sig": pa.array(keys[0], pa.int64()), "bi": pa.array(keys[1], pa.int64()), "bj": pa.array(keys[2], pa.int64())})
 
     return run
 
@@ -188,11 +211,20 @@ class JaccardJoin:
         self.sketches = ws.write("sketches", batches.give(wanted, _sketches(text_col, n), "row long, n long, sketch binary"))
         self._read_sets = _sets(text_col, n)
         links = self._verified(ws.write("near", self._possible(pairs)), "links")
-        labels = components(links, ws, "parts")
-        more = self._verified(ws.write("across", self._across(labels)), "more")
-        if not more.isEmpty():
-            labels = components(links.union(more), ws, "all")
-        self.links, self.labels = links.union(more), labels
+        base = labels = components(links, ws, "parts")
+        groups, behind = None, False
+        for turn in itertools.count():
+            found = ws.write(f"across_{turn}", self._across(base, labels, groups, turn))
+            more = self._verified(found.where("a is not null").select("a", "b").distinct(), f"more_{turn}")
+            links, behind = links.union(more), behind or not more.isEmpty()
+            groups = found.where("a is null").select("sig", "bi", "bj")
+            if groups.isEmpty():
+                break
+            if behind:
+                labels, behind = components(links, ws, f"all_{turn}"), False
+        if behind:
+            labels = components(links, ws, "all")
+        self.links, self.labels = links, labels
 
     def _possible(self, pairs: DataFrame) -> DataFrame:
         x = self.sketches.select(F.col("row").alias("a"), "n", F.col("sketch").alias("x"))
@@ -210,13 +242,20 @@ class JaccardJoin:
         found = both.where(F.col("i") * self.den >= (F.col("s") - F.col("i")) * self.num).select("a", "b")
         return self.ws.write(name, found)
 
-    def _across(self, labels: DataFrame) -> DataFrame:
-        rows = self.sigs.join(labels.withColumnRenamed("node", "row"), "row", "left").select("sig", "row", F.coalesce("root", "row").alias("comp"))
+    def _across(self, base: DataFrame, labels: DataFrame, groups: DataFrame | None, turn: int) -> DataFrame:
+        """Pairs to verify, of the groups (signature and two blocks) that have some left; ``base`` are the first turn's components."""
+        root = lambda x, name: x.select(F.col("node").alias("row"), F.col("root").alias(name))
+        rows = self.sigs.join(root(base, "comp"), "row", "left").select("sig", "row", F.coalesce("comp", "row").alias("comp"))
         mixed = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y and c > 2").select("sig", F.expr(f"(c + {BLOCK - 1}) div {BLOCK}").alias("nb"))
-        rows = rows.join(mixed, "sig").join(self.sketches, "row").withColumn("block", F.expr("pmod(xxhash64(row), nb)"))
+        if groups is not None:
+            mixed = mixed.join(groups.select("sig").distinct(), "sig", "left_semi")
+        rows = rows.join(mixed, "sig").withColumn("block", F.expr("pmod(xxhash64(row), nb)"))
+        rows = rows.join(root(labels, "now"), "row", "left").withColumn("now", F.coalesce("now", "row")) if turn else rows.withColumn("now", F.col("comp"))
         rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, nb - 1)"))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-        found = rows.select("sig", "bi", "bj", "row", "comp", "n", "sketch", "block").groupBy("sig", "bi", "bj").applyInArrow(_could_link(self.num, self.den), "a long, b long")
-        return found.distinct()
+        if groups is not None:
+            rows = rows.join(groups, ["sig", "bi", "bj"], "left_semi")
+        rows = rows.join(self.sketches, "row").select("sig", "bi", "bj", "row", "comp", "now", "n", "sketch", "block")
+        return rows.groupBy("sig", "bi", "bj").applyInArrow(_could_link(self.num, self.den, turn), "a long, b long, sig long, bi long, bj long")
 
     def rows(self) -> DataFrame:
         """(row, doc_id, n_shingles, component_id, root) of every row of the input."""

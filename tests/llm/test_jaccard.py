@@ -79,3 +79,45 @@ def test_pigeonhole(num, den):
         h = (den - num) * (top + top * den // num) // (den + num)
         assert m * (v + 1) >= h + 1 + skips * (v + 1)
         assert all(t in range(int(edges[band]), int(edges[band + 2])) for t in (s * den // num for s in range(int(edges[band]), min(top, int(edges[band]) + 50) + 1)))
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_a_large_family_around_the_threshold(frame, monkeypatch, block):
+    """Copies with random edits, of which some pairs link and many just do not: all turns together lose no link."""
+    from basepack.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(9)
+    rows = []
+    for family in range(2):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    join = JaccardJoin(frame(rows), n=5, num=80, den=100)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in join.rows().collect()) == brute(rows, 5, 80, 100)
+
+
+def test_turns_take_every_pair_once():
+    """All turns of a group give, together, the pairs of one turn without end, each once, and say when some are left."""
+    import numpy as np
+    import pyarrow as pa
+
+    from basepack.llm.jaccard import _could_link
+
+    rng = np.random.default_rng(3)
+    n = 40
+    sketches = [bytes(rng.integers(0, 256, 32, dtype=np.uint8)) for _ in range(3)]
+    comp = rng.integers(0, 30, n)
+    table = pa.table({"row": np.arange(n), "comp": comp, "now": comp, "n": np.full(n, 80), "block": np.zeros(n, np.int64), "sig": np.full(n, 5), "bi": np.zeros(n, np.int64), "bj": np.zeros(n, np.int64), "sketch": [sketches[i % 3] for i in range(n)]})
+    got, turn = [], 0
+    while True:
+        out = _could_link(80, 100, turn)(table).to_pylist()
+        got += [(r["a"], r["b"]) for r in out if r["a"] is not None]
+        assert len(out) <= n * 8**turn + 1
+        if all(r["a"] is not None for r in out):
+            break
+        turn += 1
+    assert sorted(got) == [(i, j) for i in range(n) for j in range(i + 1, n) if comp[i] != comp[j] and i % 3 == j % 3] and turn
