@@ -34,6 +34,8 @@ from .names import ddl
 HOT = 64
 #: Documents of a block of a signature's group.
 BLOCK = 1024
+#: Signatures of a document, the smallest, by which a pair is told to stand in an earlier group too.
+KNOWN = 16
 _ROW_BITS = 20
 _FIRST = "kind string, row long, doc_id long, n long, hi long, lo long, bucket long, batch long, blob binary"
 
@@ -168,6 +170,16 @@ def _could_link(num: int, den: int, turn: int):
                 p, q = np.nonzero(ok & (differ <= most))
                 found.append((x[p], b[q], differ[p, q]))
         p, q, differ = (np.concatenate(x) for x in zip(*found))
+        # A pair that shares a smaller signature is left to that one's group.
+        low = np.full((len(row), KNOWN), -1, np.int64)
+        for i, values in enumerate(table.column("low").to_pylist()):
+            low[i, : len(values)] = values
+        low[low >= key[0]] = -1
+        mine = np.ones(len(p), bool)
+        for i in range(0, len(p), 1 << 14):
+            x, y = low[p[i : i + (1 << 14)]], low[q[i : i + (1 << 14)]]
+            mine[i : i + (1 << 14)] = ~((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0)).any(axis=(1, 2))
+        p, q, differ = p[mine], q[mine], differ[mine]
         # The order is the same in every turn: by rank among the pairs of two components, as they are before the first.
         low, high = np.minimum(comp[p], comp[q]), np.maximum(comp[p], comp[q])
         order = np.lexsort((row[q], row[p], differ, high, low))
@@ -246,15 +258,18 @@ class JaccardJoin:
         """Pairs to verify, of the groups (signature and two blocks) that have some left; ``base`` are the first turn's components."""
         root = lambda x, name: x.select(F.col("node").alias("row"), F.col("root").alias(name))
         rows = self.sigs.join(root(base, "comp"), "row", "left").select("sig", "row", F.coalesce("comp", "row").alias("comp"))
-        mixed = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y and c > 2").select("sig", F.expr(f"(c + {BLOCK - 1}) div {BLOCK}").alias("nb"))
-        if groups is not None:
-            mixed = mixed.join(groups.select("sig").distinct(), "sig", "left_semi")
+        if turn == 0:
+            mixed = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y and c > 2")
+            self.mixed = self.ws.write("mixed", mixed.select("sig", F.expr(f"(c + {BLOCK - 1}) div {BLOCK}").alias("nb")))
+            held = rows.join(self.mixed, "sig").groupBy("row").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, KNOWN).alias("low"))
+            self.low = self.ws.write("low", held.join(self.sketches, "row"))
+        mixed = self.mixed if groups is None else self.mixed.join(groups.select("sig").distinct(), "sig", "left_semi")
         rows = rows.join(mixed, "sig").withColumn("block", F.expr("pmod(xxhash64(row), nb)"))
         rows = rows.join(root(labels, "now"), "row", "left").withColumn("now", F.coalesce("now", "row")) if turn else rows.withColumn("now", F.col("comp"))
         rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, nb - 1)"))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
         if groups is not None:
             rows = rows.join(groups, ["sig", "bi", "bj"], "left_semi")
-        rows = rows.join(self.sketches, "row").select("sig", "bi", "bj", "row", "comp", "now", "n", "sketch", "block")
+        rows = rows.join(self.low, "row").select("sig", "bi", "bj", "row", "comp", "now", "n", "sketch", "block", "low")
         return rows.groupBy("sig", "bi", "bj").applyInArrow(_could_link(self.num, self.den, turn), "a long, b long, sig long, bi long, bj long")
 
     def rows(self) -> DataFrame:
