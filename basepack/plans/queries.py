@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns
-from ..operators import chunks, metrics, sampling, store, windows
+from ..operators import builds, chunks, metrics, sampling, store, windows
+from ..sources import chunkfiles, fasta, files, zarr3
+from ..workspace import Workspace
 
 CHUNK = 1024
 WINDOW = 96
@@ -232,11 +234,15 @@ def chunk_starts_prefix_sum(spark, sf_dir):
     return _by_source(spark, sf_dir)
 
 
-@query(f"""WITH {_STARTS}, e AS (SELECT event_id, 'src' || user_id % 20 AS "array", event_id * 7919 % 200000 AS "at" FROM events)
+@query(f"""WITH {_STARTS}, n AS (SELECT source, sum(length(coalesce(text, '')))::BIGINT AS total FROM documents GROUP BY source),
+e AS (SELECT event_id, source AS "array", event_id * 7919::BIGINT * 104729 % greatest(total, 1) AS "at" FROM events JOIN n ON source = 'src' || user_id % 20)
 SELECT event_id, e."array", "at", chunk_idx, "at" - chunk_start AS within FROM e ASOF JOIN s ON s."array" = e."array" AND e."at" >= s.chunk_start WHERE "at" < chunk_start + chunk_size""")
 def asof_chunk(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("src"), F.pmod("user_id", F.lit(20)).cast("string")).alias("array"), F.pmod(F.col("event_id") * 7919, F.lit(200000)).alias("at"))
-    found = chunks.asof_chunk(_by_source(spark, sf_dir), e, cell=8192)
+    starts = _by_source(spark, sf_dir)
+    totals = starts.groupBy("array").agg(F.sum("chunk_size").alias("total"))
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("src"), F.pmod("user_id", F.lit(20)).cast("string")).alias("array"))
+    e = e.join(totals, "array").select("event_id", "array", F.pmod(F.col("event_id") * 7919 * 104729, F.greatest("total", F.lit(1))).alias("at"))
+    found = chunks.asof_chunk(starts, e, cell=8192)
     return found.select("event_id", "array", "at", "chunk_idx", (F.col("at") - F.col("chunk_start")).alias("within"))
 
 
@@ -251,22 +257,30 @@ def chunk_orders(spark, sf_dir):
 
 
 @query(f"""WITH {_D}, c AS (SELECT doc_id::VARCHAR AS "array", n, unnest(range(0, (n + {CHUNK - 1}) // {CHUNK})) AS chunk_idx FROM d)
-SELECT "array", chunk_idx, least((least({CHUNK}, n - chunk_idx * {CHUNK}) + 3) // 4 * 4, (least({CHUNK}, n - chunk_idx * {CHUNK}) + 7) // 8 * 8)::BIGINT AS bases FROM c WHERE "array"::BIGINT % 3 <> 0""")
+SELECT "array", chunk_idx, least((least({CHUNK}, n - chunk_idx * {CHUNK}) + 3) // 4 * 4, (least({CHUNK}, n - chunk_idx * {CHUNK}) + 7) // 8 * 8)::BIGINT AS bases FROM c""")
 def seq_flag_pairing(spark, sf_dir):
-    """Flags of every third record are not there."""
     rows = chunks.chunk_records(records(spark, sf_dir), "2bit", CHUNK, on_non_ascii="N")
-    flags = rows.where("component = '2bit_flag' and cast(array as long) % 3 <> 0")
-    return chunks.paired(rows.where("component = '2bit_seq'"), flags).select("array", "chunk_idx", "bases")
+    return chunks.paired(rows.where("component = '2bit_seq'"), rows.where("component = '2bit_flag'")).select("array", "chunk_idx", "bases")
 
 
-@query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def _named(df: DataFrame) -> DataFrame:
+    return df.select(F.col("doc_id").cast("string").alias("name"))
+
+
+@query("SELECT doc_id::VARCHAR AS name FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def wanted_semi(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return fasta.wanted(_named(table(spark, sf_dir, "documents")), _named(table(spark, sf_dir, "labels")))
 
 
-@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+@query("SELECT doc_id::VARCHAR AS name FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def missing_anti(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    """Documents are the names asked for, labels the records."""
+    return fasta.missing(_named(table(spark, sf_dir, "labels")), _named(table(spark, sf_dir, "documents")))
+
+
+@query("SELECT DISTINCT source AS name FROM documents WHERE starts_with(source, 'src1')")
+def prefix_filter(spark, sf_dir):
+    return fasta.with_prefix(table(spark, sf_dir, "documents").select(F.col("source").alias("name")).distinct(), "src1")
 
 
 @query(f"WITH {_D}, c AS (SELECT doc_id AS \"array\", unnest(range(0, (n + {CHUNK - 1}) // {CHUNK})) AS chunk_idx FROM d) SELECT * FROM c WHERE (\"array\" + chunk_idx) % 3 = 0")
@@ -286,20 +300,144 @@ def config_grid(spark, sf_dir):
     return metrics.run_label(metrics.config_grid(spark, **GRID).withColumn("iteration", F.col("iteration").cast("int")))
 
 
-@query("SELECT source AS name, sum(length(line))::BIGINT AS logical_length, count(*) AS lines FROM (SELECT source, trim(unnest(string_split(coalesce(text, ''), chr(10)))) AS line FROM documents) WHERE line <> '' GROUP BY source")
-def record_lengths(spark, sf_dir):
-    """Sources as records, texts as their lines; blank lines do not count."""
-    docs = table(spark, sf_dir, "documents")
-    lines = docs.select("source", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).withColumn("line", F.trim("line")).where("line <> ''")
-    return lines.groupBy(F.col("source").alias("name")).agg(F.sum(F.length("line")).alias("logical_length"), F.count("*").alias("lines"))
+#: A FASTA file of the documents: a source is a record, its documents' lines in order are its sequence.
+_LINE = "regexp_replace(coalesce(text, ''), '[^A-Za-z\\n]', 'N', 'g')"
+_RECORDS = f"""l AS (SELECT source, doc_id, unnest(string_split({_LINE}, chr(10))) AS line, unnest(range(0, len(string_split({_LINE}, chr(10))))) AS line_no FROM documents),
+g AS (SELECT source AS name, string_agg(line, '' ORDER BY doc_id, line_no) AS seq FROM l GROUP BY source),
+b AS (SELECT name, length(seq)::BIGINT AS n, regexp_replace(translate(seq, 'acgtn', 'ACGTN'), '[^ACGT]', 'N', 'g') AS norm FROM g),
+d AS (SELECT name, n, norm, translate(norm, 'ACGTN', '01234') AS digits FROM b)"""
+
+
+def _fasta(ws: Workspace, sf_dir: str, before: str | None = None) -> str:
+    """Writes the file; ``before``: a line ahead of all headers."""
+    docs = table(ws.spark, sf_dir, "documents")
+    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z\n]", "N"), "\n")
+    rows = docs.select("source", F.lit(1).alias("kind"), "doc_id", F.posexplode(lines).alias("line_no", "value"))
+    heads = docs.select("source").distinct().select("source", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("line_no"), F.concat(F.lit(">"), "source", F.lit(" of documents")).alias("value"))
+    rows = heads.union(rows)
+    if before is not None:
+        rows = rows.union(ws.spark.createDataFrame([(None, -1, None, 0, before)], rows.schema))
+    folder = f"{ws.root}/fasta"
+    rows.orderBy(F.col("source").asc_nulls_first(), "kind", "doc_id", "line_no").select("value").coalesce(1).write.text(folder)  # the input is one file
+    return ws.spark.read.format("binaryFile").load(folder).select("path").first()[0].replace("file:///", "/", 1)
+
+
+@query(f"WITH {_RECORDS} SELECT name, n AS logical_length FROM b")
+def fasta_scan(spark, sf_dir):
+    return fasta.records(spark, _fasta(Workspace(spark, "scan"), sf_dir), size=1 << 20).select("name", "logical_length")
+
+
+@query(f"""WITH {_RECORDS}, p AS (SELECT source AS name, doc_id, line_no, line, coalesce(sum(length(line)) OVER (PARTITION BY source ORDER BY doc_id, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position FROM l)
+SELECT name, position, line FROM p WHERE line <> ''""")
+def fasta_permissive(spark, sf_dir):
+    """A line ahead of all headers is left out."""
+    return fasta.read_fasta(spark, _fasta(Workspace(spark, "permissive"), sf_dir, "ACGT"), permissive=True, size=1 << 20).select("name", "position", "line")
+
+
+def _sources(spark, sf_dir) -> DataFrame:
+    """The same records as rows: (name, ordinal, logical_length, seq)."""
+    lines = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z\n]", "N"), "\n", "")
+    docs = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.array_sort(F.collect_list(F.struct("doc_id", lines.alias("s")))).alias("p"))
+    whole = docs.select("name", F.xxhash64("name").alias("ordinal"), F.array_join(F.transform("p", lambda x: x["s"]), "").alias("seq"))
+    return whole.select("name", "ordinal", F.length("seq").cast("long").alias("logical_length"), "seq")
+
+
+_HEX = "digits || CASE WHEN n % 2 = 1 THEN '0' ELSE '' END"
+_CUT = f"c AS (SELECT name AS \"array\", unnest(range(0, (length({_HEX}) // 2 + {CHUNK // 2 - 1}) // {CHUNK // 2})) AS chunk_idx, {_HEX} AS h FROM d)"
+_PIECE = f"substr(h, (chunk_idx * {CHUNK} + 1)::BIGINT, {CHUNK}) AS payload"
+
+
+@query(f"WITH {_RECORDS}, {_CUT} SELECT \"array\", chunk_idx, {_PIECE} FROM c")
+def zarr_roundtrip(spark, sf_dir):
+    """FASTA into a Zstandard group, decompressed, compressed again, read back."""
+    ws = Workspace(spark, "zarr")
+    a, b, c = (f"{ws.root}/{x}".replace("file:///", "/", 1) for x in ("zstd", "none", "again"))
+    store.fasta_to_zstd(spark, _fasta(ws, sf_dir), a, chunk_bases=CHUNK)
+    store.compress_zarr(spark, store.decompress_zarr(spark, a, b), c)
+    return zarr3.read_chunks(spark, c, store.open_store(spark, c)[1]).select("array", "chunk_idx", hexed(F.col("payload")).alias("payload"))
+
+
+@query(f"WITH {_RECORDS} SELECT count(*) AS chromosomes, sum(n)::BIGINT AS logical_bases, sum((n + 1) // 2)::BIGINT AS packed_bytes, 'zstd' AS compressor, 3 AS zarr_format FROM b")
+def store_statistics(spark, sf_dir):
+    ws = Workspace(spark, "statistics")
+    path = store.fasta_to_zstd(spark, _fasta(ws, sf_dir), f"{ws.root}/zstd".replace("file:///", "/", 1), chunk_bases=1 << 16)
+    return store.store_statistics(spark, path).select("chromosomes", "logical_bases", "packed_bytes", "compressor", "zarr_format")
+
+
+def _built(spark, sf_dir, backend: str, arch: str, compressor: str):
+    ws = Workspace(spark, "built")
+    setting, path = builds.Setting(backend, arch, "64KB", 1 << 16, compressor), f"{ws.root}/{backend}".replace("file:///", "/", 1)
+    builds.build_store(_sources(spark, sf_dir), path, setting)
+    return path, setting
+
 
+_BIG = 1 << 16
 
-@query("""SELECT count(*) AS chromosomes, sum(n)::BIGINT AS logical_bases, sum((n + 1) // 2)::BIGINT AS packed_bytes, max((n + 1) // 2)::BIGINT AS largest
-FROM (SELECT length(coalesce(text, ''))::BIGINT AS n FROM documents)""")
-def store_stats(spark, sf_dir):
-    packed = F.octet_length("p").cast("long")
-    rows = records(spark, sf_dir).select("logical_length", columns.encode(F.col("seq"), "4bit", "N").alias("p"))
-    return rows.agg(F.count("*").alias("chromosomes"), F.sum("logical_length").alias("logical_bases"), F.sum(packed).alias("packed_bytes"), F.max(packed).alias("largest"))
+
+@query(f"WITH {_RECORDS}, c AS (SELECT name AS \"array\", {_HEX} AS h, unnest(range(0, (n + {_BIG - 1}) // {_BIG})) AS chunk_idx FROM d) SELECT \"array\", '4bit' AS component, chunk_idx, substr(h, (chunk_idx * {_BIG} + 1)::BIGINT, {_BIG}) AS payload FROM c")
+def chunk_store_roundtrip(spark, sf_dir):
+    path, setting = _built(spark, sf_dir, "manual", "4bit", "lz4")
+    return builds.open_build(spark, path, setting).select("array", "component", "chunk_idx", hexed(F.col("payload")).alias("payload"))
+
+
+@query(f"WITH {_RECORDS}, c AS (SELECT name AS \"array\", regexp_replace(digits, '(.)', '0\\1', 'g') AS h, unnest(range(0, (n + {_BIG - 1}) // {_BIG})) AS chunk_idx FROM d) SELECT \"array\", 'uint8' AS component, chunk_idx, substr(h, (chunk_idx * {2 * _BIG} + 1)::BIGINT, {2 * _BIG}) AS payload FROM c")
+def zarr_backend_roundtrip(spark, sf_dir):
+    path, setting = _built(spark, sf_dir, "zarr", "uint8", "lz4")
+    return builds.open_build(spark, path, setting).select("array", "component", "chunk_idx", hexed(F.col("payload")).alias("payload"))
+
+
+@query(f"WITH {_RECORDS}, c AS (SELECT name, unnest(['seq', 'flag']) AS part, n FROM d) SELECT name || '_' || part AS \"array\", CASE part WHEN 'seq' THEN (n + 3) // 4 ELSE (n + 7) // 8 END AS shape, CASE part WHEN 'seq' THEN {_BIG // 4} ELSE {_BIG // 8} END::BIGINT AS chunk_bytes, 'zstd' AS compressor FROM c")
+def zarr_arrays(spark, sf_dir):
+    """Metadata of a two-bit group."""
+    path, _ = _built(spark, sf_dir, "zarr", "2bit", "zstd")
+    return zarr3.open_any(spark, path)[1].select("array", "shape", "chunk_bytes", "compressor")
+
+
+@query(f"WITH {_RECORDS} SELECT sum((n + {_BIG - 1}) // {_BIG})::BIGINT AS files, sum((n + 1) // 2)::BIGINT AS bytes FROM d")
+def storage_scan(spark, sf_dir):
+    """Chunk files of an uncompressed store, by a scan of its folder."""
+    path, _ = _built(spark, sf_dir, "manual", "4bit", "none")
+    return files.listing(spark, path).where("path like 'c/%'").agg(F.count("*").alias("files"), F.sum("length").cast("long").alias("bytes"))
+
+
+@query(f"WITH {_RECORDS}, r AS (SELECT event_id AS req_id, name, event_id * 7919 % (n - {WINDOW}) AS start, {_HEX} AS h FROM events JOIN d ON name = 'src' || user_id % 20 WHERE n > {WINDOW}) SELECT req_id, substr(h, (start // 2 * 2 + 1)::BIGINT, ((start + {WINDOW} + 1) // 2 - start // 2) * 2) AS payload FROM r")
+def requests_one_by_one(spark, sf_dir):
+    """Requests that are read each on its own from a store's files, as the latency benchmark does."""
+    path, setting = _built(spark, sf_dir, "manual", "4bit", "zstd")
+    known = _sources(spark, sf_dir).where(F.col("logical_length") > WINDOW).select(F.col("name").alias("chrom"), "logical_length")
+    asked = table(spark, sf_dir, "events").select(F.col("event_id").alias("req_id"), F.concat(F.lit("src"), F.pmod("user_id", F.lit(20)).cast("string")).alias("chrom")).join(known, "chrom")
+    asked = asked.select("req_id", "chrom", F.pmod(F.col("req_id") * 7919, F.col("logical_length") - WINDOW).alias("start"), F.lit(WINDOW).alias("bases"))
+    return builds.timed_requests(asked, path, setting).select("req_id", hexed(F.col("payload")).alias("payload"))
+
+
+@query("SELECT 500 AS n, 500 AS inside, true AS again")
+def requests_seeded(spark, sf_dir):
+    """Seeded requests lie inside eligible records, and the seed gives them again."""
+    known = records(spark, sf_dir).drop("seq")
+    asked, twice = (sampling.generate_requests(spark, known, 500, WINDOW, seed=7) for _ in range(2))
+    inside = asked.join(known.withColumnRenamed("name", "chrom"), "chrom").where((F.col("start") >= 0) & (F.col("start") < F.col("logical_length") - WINDOW))
+    row = inside.agg(F.count("*").cast("int").alias("inside")).withColumn("n", F.lit(asked.count()).cast("int"))
+    return row.select("n", "inside", F.lit(asked.exceptAll(twice).isEmpty()).alias("again"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY event_type")
+def results_csv(spark, sf_dir):
+    """Results written as CSV and read back."""
+    ws = Workspace(spark, "results")
+    found = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    chunkfiles.write_results(found, f"{ws.root}/results")
+    return chunkfiles.read_results(spark, f"{ws.root}/results", "event_type string, n long, total double")
+
+
+@query("SELECT DISTINCT 'o_orderstatus' AS name, o_orderstatus AS value FROM orders UNION SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders")
+def facet_values(spark, sf_dir):
+    return metrics.facets(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey = (SELECT min(o_custkey) FROM orders)")
+def result_filters(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return metrics.matching(orders, o_orderstatus=["F", "O"], o_custkey=orders.agg(F.min("o_custkey")).first()[0]).select("o_orderkey")
 
 
 @query("SELECT doc_id::VARCHAR AS name, length(coalesce(text, ''))::BIGINT AS logical_length FROM documents ORDER BY length(coalesce(text, '')) DESC, doc_id LIMIT 1")
@@ -308,17 +446,17 @@ def longest_record(spark, sf_dir):
 
 
 _FILES = """f AS (SELECT CASE WHEN event_id % 4 = 0 THEN '/x/' || arch || '/chr' || event_id || '.bin' ELSE '/x/' || arch || '_' || size || '.zarr/c/chr_' || event_id END AS path, 100 + event_id % 977 AS length
-  FROM (SELECT event_id, ['uint8', '4bit', '2bit_seq', '2bit_flag'][1 + event_id % 4] AS arch, ['128KB', '1MB', '16MB'][1 + event_id % 3] AS size FROM (SELECT event_id // 5 AS event_id FROM events)))"""
+  FROM (SELECT event_id, ['uint8', '4bit', '2bit_flag_seq', '2bit_flag_flag'][1 + event_id % 4] AS arch, ['128KB', '1MB', '16MB'][1 + event_id % 3] AS size FROM (SELECT event_id // 5 AS event_id FROM events)))"""
 
 
 @query(f"""WITH {_FILES}, p AS (SELECT length, regexp_extract(path, '([^/]+)/[^/]+[.]bin$', 1) AS flat, regexp_extract(path, '([^/]+)[.]zarr/c/', 1) AS store FROM f)
-SELECT CASE WHEN flat <> '' THEN regexp_replace(flat, '_(seq|flag)$', '') ELSE regexp_replace(regexp_replace(store, '_(seq|flag)_', '_'), '_[^_]*$', '') END AS architecture,
+SELECT CASE WHEN flat || store LIKE '2bit!_flag!_%' ESCAPE '!' THEN '2bit_flag' WHEN flat <> '' THEN flat ELSE string_split(store, '_')[1] END AS architecture,
   CASE WHEN flat <> '' THEN 'flat' ELSE regexp_extract(store, '([^_]+)$', 1) END AS layout, sum(length)::BIGINT AS apparent_bytes, count(*) AS files
 FROM p GROUP BY 1, 2""")
 def storage_profile(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.expr("event_id div 5").alias("event_id"))
     pick = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), (F.pmod("event_id", F.lit(len(values))) + 1).cast("int"))
-    e = e.withColumn("arch", pick(["uint8", "4bit", "2bit_seq", "2bit_flag"])).withColumn("size", pick(["128KB", "1MB", "16MB"]))
+    e = e.withColumn("arch", pick(["uint8", "4bit", "2bit_flag_seq", "2bit_flag_flag"])).withColumn("size", pick(["128KB", "1MB", "16MB"]))
     path = F.when(F.col("event_id") % 4 == 0, F.format_string("/x/%s/chr%d.bin", "arch", "event_id")).otherwise(F.format_string("/x/%s_%s.zarr/c/chr_%d", "arch", "size", "event_id"))
     return metrics.storage_profile(e.select(path.alias("path"), (F.col("event_id") % 977 + 100).alias("length")))
 
@@ -411,9 +549,12 @@ def transcode_roundtrip(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", hexed(p).alias("packed"))
 
 
-@query(f"WITH {_D}, c AS (SELECT doc_id::VARCHAR AS \"array\", n, unnest(range(0, (n + {CHUNK - 1}) // {CHUNK})) AS chunk_idx FROM d) SELECT \"array\", chunk_idx, ((((least({CHUNK}, n - chunk_idx * {CHUNK}) + 1) // 2) + 4095) // 4096 * 4096)::BIGINT AS bytes FROM c")
-def legacy_chunks(spark, sf_dir):
-    ascii_only = records(spark, sf_dir).withColumn("seq", F.regexp_replace("seq", r"[^\x00-\x7F]", "N"))
-    return store.legacy_chunks(ascii_only, "legacy_4bit", CHUNK).select("array", "chunk_idx", F.octet_length("payload").cast("long").alias("bytes"))
+_ASCII = "regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', 'N', 'g')"
 
 
+@query(f"""WITH t AS (SELECT doc_id::VARCHAR AS "array", translate(regexp_replace(translate({_ASCII}, 'acgtn', 'ACGTN'), '[^ACGTN]', 'A', 'g'), 'ACGTN', '048c1') AS h FROM documents),
+c AS (SELECT "array", h, unnest(range(0, (length(h) + {CHUNK - 1}) // {CHUNK})) AS chunk_idx FROM t), p AS (SELECT "array", chunk_idx, substr(h, (chunk_idx * {CHUNK} + 1)::BIGINT, {CHUNK}) AS q FROM c)
+SELECT "array", chunk_idx, rpad(q, (((length(q) + 1) // 2 + 4095) // 4096 * 8192)::INTEGER, '0') AS payload FROM p""")
+def legacy_chunks(spark, sf_dir):
+    ascii_only = records(spark, sf_dir).withColumn("seq", F.regexp_replace("seq", r"[^\x00-\x7F]", "N"))
+    return store.legacy_chunks(ascii_only, "legacy_4bit", CHUNK).select("array", "chunk_idx", hexed(F.col("payload")).alias("payload"))
