@@ -153,3 +153,12 @@ def test_bytes_of_wider_windows(frame, window):
         expected.append((i, len(t), int(m.sum()), len(K.runs_of(m)[0]), hashlib.sha256("".join(c for c, r in zip(t, m) if not r).encode()).hexdigest()))
     got = suffix_dedup.digests(suffix_dedup.repeats(frame(rows), window=window))
     assert sorted(map(tuple, got.collect())) == expected
+
+
+def test_anchors_deal_evenly():
+    from basepack.llm import batches as B
+
+    data = np.random.default_rng(8).integers(0, 1 << 63, 200_000).astype(np.uint64)
+    block = segments.Block(lambda i, j: data[i:j], np.array([0, len(data)]), b"", None, None)
+    dealt = np.bincount(B.bucket_of(segments._anchors(block, 50, 20)[2], 50), minlength=50)
+    assert dealt.max() < 1.5 * dealt.mean()
