@@ -216,10 +216,12 @@ class JaccardJoin:
         kept = shared.join(self.nodes.select(F.col("node").alias("row")), "row", "left_semi")
         n_hot = F.sum("hot").over(Window.partitionBy("row", "band"))
         kept = kept.withColumn("n_hot", n_hot).where("hot = 0 or n_hot > skips").select("sig", "row").distinct()
+        # What copies alone share is one node's by now and goes; of the rest each row has its star's centre.
+        star = Window.partitionBy("sig")
+        kept = kept.withColumn("a", F.min("row").over(star)).withColumn("c", F.count("*").over(star)).where("c > 1")
         self.sigs = sigs = ws.write("sigs", kept)
-        stars = sigs.groupBy("sig").agg(F.min("row").alias("a"), F.count("*").alias("c")).where("c > 1")
-        pairs = ws.write("pairs", sigs.withColumnRenamed("row", "b").join(stars, "sig").where("a <> b").select("a", "b").distinct())
-        wanted = sigs.join(stars.select("sig"), "sig", "left_semi").select("row").distinct().withColumn("batch", F.shiftright("row", _ROW_BITS))
+        pairs = ws.write("pairs", sigs.where("a <> row").select("a", F.col("row").alias("b")).distinct())
+        wanted = sigs.select("row").distinct().withColumn("batch", F.shiftright("row", _ROW_BITS))
         self.sketches = ws.write("sketches", batches.give(wanted, _sketches(text_col, n), "row long, n long, sketch binary"))
         self._read_sets = _sets(text_col, n)
         links = self._verified(ws.write("near", self._possible(pairs)), "links")
@@ -257,14 +259,15 @@ class JaccardJoin:
     def _across(self, base: DataFrame, labels: DataFrame, groups: DataFrame | None, turn: int) -> DataFrame:
         """Pairs to verify, of the groups (signature and two blocks) that have some left; ``base`` are the first turn's components."""
         root = lambda x, name: x.select(F.col("node").alias("row"), F.col("root").alias(name))
-        rows = self.sigs.join(root(base, "comp"), "row", "left").select("sig", "row", F.coalesce("comp", "row").alias("comp"))
         if turn == 0:
-            mixed = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y and c > 2")
-            self.mixed = self.ws.write("mixed", mixed.select("sig", F.expr(f"(c + {BLOCK - 1}) div {BLOCK}").alias("nb")))
-            held = rows.join(self.mixed, "sig").groupBy("row").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, KNOWN).alias("low"))
+            group = Window.partitionBy("sig")
+            rows = self.sigs.where("c > 2").join(root(base, "comp"), "row", "left").select("sig", "row", F.coalesce("comp", "row").alias("comp"), F.expr(f"(c + {BLOCK - 1}) div {BLOCK}").alias("nb"))
+            rows = rows.withColumn("x", F.min("comp").over(group)).withColumn("y", F.max("comp").over(group)).where("x <> y")
+            self.mixed = self.ws.write("mixed", rows.select("sig", "row", "comp", "nb"))
+            held = self.mixed.groupBy("row").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, KNOWN).alias("low"))
             self.low = self.ws.write("low", held.join(self.sketches, "row"))
-        mixed = self.mixed if groups is None else self.mixed.join(groups.select("sig").distinct(), "sig", "left_semi")
-        rows = rows.join(mixed, "sig").withColumn("block", F.expr("pmod(xxhash64(row), nb)"))
+        rows = self.mixed if groups is None else self.mixed.join(groups.select("sig").distinct(), "sig", "left_semi")
+        rows = rows.withColumn("block", F.expr("pmod(xxhash64(row), nb)"))
         rows = rows.join(root(labels, "now"), "row", "left").withColumn("now", F.coalesce("now", "row")) if turn else rows.withColumn("now", F.col("comp"))
         rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, nb - 1)"))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
         if groups is not None:

@@ -121,3 +121,14 @@ def test_turns_take_every_pair_once():
             break
         turn += 1
     assert sorted(got) == [(i, j) for i in range(n) for j in range(i + 1, n) if comp[i] != comp[j] and i % 3 == j % 3 and (i, j) != (0, 3)] and turn
+
+
+def test_signatures_of_one_node_go_and_turns_read_mixed_groups_only(frame, docs):
+    """No kept signature is one node's alone, and no turn but the first reads all signatures again."""
+    rows = families(1) + [(1000 + i, t) for i, t in docs]
+    rows += [(2000 + i, t) for i, t in rows]  # copies, in other batches
+    join = JaccardJoin(frame(rows), n=5, num=80, den=100, batch_bytes=3000, bucket_bytes=4000)
+    assert join.sigs.groupBy("sig").count().where("count < 2").isEmpty() and not join.sigs.isEmpty()
+    groups = join.mixed.selectExpr("sig", "0L bi", "0L bj").distinct()
+    read = join._across(join.labels, join.labels, groups, 1).inputFiles()
+    assert any("/mixed/" in f for f in read) and not any("/sigs/" in f for f in read)
