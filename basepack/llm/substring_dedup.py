@@ -37,10 +37,8 @@ PARTS = 4
 
 def read_words(text_col: str):
     def run(table: pa.Table) -> Block:
-        found, bounds = W.split(B.texts_of(table, text_col))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        hi = np.cumsum(sizes + 1) - 1
-        return Block(lambda i, j: W.hashes(found[i:j]), bounds, b" ".join(found), hi - sizes, hi)
+        data, lo, hi, bounds = W.places(B.texts_of(table, text_col))
+        return Block(lambda i, j: W.place_hashes(data, lo[i:j], hi[i:j]), bounds, data, lo, hi)
 
     return run
 

@@ -1,6 +1,8 @@
 import hashlib
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from basepack.llm import kernels as K
@@ -76,6 +78,29 @@ def test_empty_table(frame):
         assert module.dedup(module.repeats(frame([]))).collect() == []
 
 
+def test_words_are_read_without_an_object_for_each(docs):
+    rng = np.random.default_rng(6)
+    texts = [(t or "").encode() for _, t in docs] + [b"  a\x00b \t\x0b\x0c\r\n c\x1f d ", b"x" * 8 + b" " + b"x" * 9 + b" " + b"x" * 64 + b" " + b"x" * 65 + b" " + b"x" * 300, b" "]
+    texts += [bytes(rng.choice(np.frombuffer(b"ab \n\xc3", np.uint8), 400)) for _ in range(20)]
+    for some in (texts, texts[:1], [], [b""], [b"", b" ", b""], [b"a"], [b"", b"a b"]):
+        block = substring_dedup.read_words("text")(pa.table({"text": pa.array(some, pa.binary())}))
+        words = [t.split() for t in some]
+        every = [w for ws in words for w in ws]
+        assert block.bounds.tolist() == np.cumsum([0, *map(len, words)]).tolist()
+        assert [block.piece(i, i) for i in range(len(every))] == every
+        assert not every or block.piece(0, len(every) - 1) == b" ".join(every)
+        got = block.symbols(0, len(every)).tolist()
+        assert len(set(got)) == len(set(every)) == len(set(zip(got, every)))
+        for i, j in ((3, 40), (len(every) - 1, len(every)), (7, 7)):
+            assert block.symbols(i, j).tolist() == got[i:j]
+    table = pa.table({"text": pa.array([b" ".join(b"w%d" % i for i in range(50_000))])})
+    before = sys.getallocatedblocks()
+    block = substring_dedup.read_words("text")(table)
+    symbols = block.symbols(0, 50_000)
+    assert len(np.unique(symbols)) == 50_000
+    assert sys.getallocatedblocks() - before < 5_000
+
+
 def test_previous_factors():
     value, lcp = np.array([3, 1, 2, 0, 5]), np.array([0, 60, 70, 55, 51])
     assert list(suffix_dedup.previous_factors(value, lcp, 50)) == [0, 0, 70, 0, 51]
