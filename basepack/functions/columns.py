@@ -112,12 +112,18 @@ def parse_size(label: Column) -> tuple[Column, Column]:
     return F.concat(number.cast("string"), F.when(unit == "B", "").otherwise(unit)), number * factor
 
 
-def format_bytes(n: Column) -> Column:
-    """Two decimals, ties to even, and the largest unit of which there is at least one."""
-    out = None
-    for i in range(len(_UNITS) - 1, -1, -1):
-        text = F.concat(F.format_string("%.2f", F.bround(n.cast("double") / float(1 << (10 * i)), 2)), F.lit(f" {_UNITS[i]}"))
-        out = text if i == len(_UNITS) - 1 else F.when(n < (1 << (10 * (i + 1))), text).otherwise(out)
+def format_bytes(n: Column, largest: str = _UNITS[-1]) -> Column:
+    """Two decimals of a whole number, ties to even, and the largest unit, up to ``largest``, of which there is at least one."""
+    n = n.cast("double").cast("long")
+    out = F.concat(n.cast("string"), F.lit(f".00 {_UNITS[0]}"))
+    for i, unit in enumerate(_UNITS[1 : _UNITS.index(largest) + 1], 1):
+        # In whole numbers: a double close to a tie is rounded by its shortest digits, not by what it is.
+        k = 10 * i
+        part = n.bitwiseAND(F.lit((1 << k) - 1).cast("long")) * 100
+        cents, rest, half = F.shiftright(part, k), part.bitwiseAND(F.lit((1 << k) - 1).cast("long")), F.lit(1 << (k - 1))
+        up = (rest > half) | ((rest == half) & (cents % 2 == 1))
+        cents = cents + up.cast("long")  # 100 of them carry over
+        out = F.when(n >= (1 << k), F.format_string(f"%d.%02d {unit}", F.shiftright(n, k) + (cents == 100).cast("long"), cents % 100)).otherwise(out)
     return out
 
 

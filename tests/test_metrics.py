@@ -44,3 +44,14 @@ def test_order_and_asof(spark):
     got = {r.at: r.chunk_idx for r in chunks.asof_chunk(starts, at, cell=4).collect()}
     assert got == {0: 1, 4: 1, 5: 2, 14: 10}
     assert [r.chunk_idx for r in metrics.in_order(df, "chunk_idx", [2, 10]).collect()] == [2, 10, 1]
+
+
+def test_format_bytes(spark):
+    """The largest unit can be set; what only looks like a tie is rounded by its value."""
+    from basepack.functions import columns
+
+    values = [0, 1023, 1024, 1029, 1048575, 1 << 50, 1 << 60, 4503605124928635, 4503638110277468]
+    df = spark.createDataFrame([(v,) for v in values], "n long").select(columns.format_bytes(F.col("n"), "TiB").alias("t"), columns.format_bytes(F.col("n")).alias("p"))
+    t, p = zip(*df.collect())
+    assert t == ("0.00 B", "1023.00 B", "1.00 KiB", "1.00 KiB", "1024.00 KiB", "1024.00 TiB", "1048576.00 TiB", "4096.01 TiB", "4096.03 TiB")
+    assert p[:5] == t[:5] and p[5:] == ("1.00 PiB", "1024.00 PiB", "4.00 PiB", "4.00 PiB")
