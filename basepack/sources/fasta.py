@@ -1,9 +1,12 @@
 """FASTA: lines with their record and base position, from byte ranges read in parallel.
 
 A range is read with the lines that start in it.  What a range needs from those before it, the
-record that is open and its bases so far, comes from a running sum over one small row a range; so a
-chromosome of any length is read by many tasks.  A line is a row: a file without line breaks in its
-sequences gives rows as long as its records.
+record that is open and its bases so far, comes from a running sum over one small row a range, on
+the driver; so a chromosome of any length is read by many tasks.  A line is a row: a file without
+line breaks in its sequences gives rows as long as its records.
+
+A path is a file, or a folder whose files, in the order of their names, are one FASTA file in parts;
+a line ends with its part, a record does not.
 """
 
 from __future__ import annotations
@@ -13,13 +16,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workspace import ship
 from . import files
 
 RANGE_BYTES = 64 << 20
+#: Most bytes and lines of a batch of lines.
+BATCH_BYTES, BATCH_LINES = 4 << 20, 20_000
+CUTS = "range long, file string, base long, start long, end long"
 LINES = "name string, ordinal long, position long, line string"
 
 
@@ -51,14 +57,45 @@ def _lines(uri: str, start: int, end: int) -> Iterator[tuple[int, str]]:
             at += len(raw)
 
 
-def ranges(spark: SparkSession, path: str, size: int = RANGE_BYTES) -> DataFrame:
-    """(start, end) rows that cut the file, one a task."""
+def parts(path: str) -> list[tuple[str, int]]:
+    """(file, bytes) of a FASTA file, or of the parts in a folder; hidden ones are none."""
     fs, at = files.opened(path)
     info = fs.get_file_info(at)
-    if info.type != pafs.FileType.File:
+    if info.type == pafs.FileType.File:
+        return [(path, info.size)]
+    if info.type != pafs.FileType.Directory:
         raise FileNotFoundError(path)
-    n = max(1, -(-info.size // size))
-    return spark.range(0, n, 1, n).select((F.col("id") * size).alias("start"), F.least((F.col("id") + 1) * size, F.lit(info.size)).alias("end"))
+    found = sorted((i.base_name, i.size) for i in fs.get_file_info(pafs.FileSelector(at)) if i.type == pafs.FileType.File and i.base_name[0] not in "._")
+    return [(f"{path.rstrip('/')}/{name}", size) for name, size in found]
+
+
+def _dealt(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of ranges, dealt over tasks by their order: some tasks a core, and more where a task had more than RANGE_BYTES."""
+    most = sum(r[4] - r[3] for r in rows) // RANGE_BYTES + 1
+    tasks = max(1, min(len(rows), max(most, 4 * spark.sparkContext.defaultParallelism)))
+    return spark.createDataFrame(rows, schema).repartitionByRange(tasks, "range")
+
+
+def ranges(path: str, size: int = RANGE_BYTES) -> list[tuple]:
+    """(range, file, base, start, end) that cut the files; ``base``: bytes of the parts before."""
+    out, base = [], 0
+    for file, n in parts(path):
+        out += [(len(out) + k, file, base, at, min(at + size, n)) for k, at in enumerate(range(0, n, size))]
+        base += n
+    return out
+
+
+def _carried(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """Ranges with the record that is open where they begin, and its bases so far."""
+    ship(spark)
+    cuts = ranges(path, size)
+    heads = {r.range: r for r in _summaries(_dealt(spark, cuts, CUTS)).collect()}  # a small row a range
+    rows, opened, bases = [], None, 0
+    for cut in cuts:
+        rows.append((*cut, opened, bases))
+        head = heads[cut[0]]
+        opened, bases = (head.last_header, head.tail) if head.last_header else (opened, bases + head.tail)
+    return _dealt(spark, rows, f"{CUTS}, open struct<at:long,name:string>, bases long")
 
 
 def read_fasta(spark: SparkSession, path: str, permissive: bool = False, size: int = RANGE_BYTES) -> DataFrame:
@@ -67,27 +104,16 @@ def read_fasta(spark: SparkSession, path: str, permissive: bool = False, size: i
     Strict: data before the first header is an error.  Permissive: it is left out.
     A record without bases has no line; ``records`` has it.
     """
-    ship(spark)
-    cuts = ranges(spark, path, size)
-    heads = _summaries(cuts, path)
-    order = Window.orderBy("start")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    # One row a range: the window sorts as many rows as there are ranges.
-    carried = heads.withColumn("open", F.last("last_header", True).over(before)).withColumn("block", F.coalesce(F.sum(F.col("last_header").isNotNull().cast("int")).over(before), F.lit(0)))
-    bases = F.sum("tail").over(Window.partitionBy("block").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    # Bases of the open record: behind the header in its range, then whole ranges without a header.
-    behind = F.last(F.when(F.col("last_header").isNotNull(), F.col("tail")), True).over(before)
-    carried = carried.withColumn("bases", F.coalesce(behind, F.lit(0)) + F.coalesce(bases, F.lit(0)))
 
     def emit(it):
         for batch in it:
             for row in batch.to_pylist():
-                name, ordinal, position, out = None, -1, row["bases"], []
+                name, ordinal, position, out, held = None, -1, row["bases"], [], 0
                 if row["open"] is not None:
                     name, ordinal = row["open"]["name"], row["open"]["at"]
-                for at, text in _lines(path, row["start"], row["end"]):
+                for at, text in _lines(row["file"], row["start"], row["end"]):
                     if text.startswith(">"):
-                        name, ordinal, position = record_name(text), at, 0
+                        name, ordinal, position = record_name(text), row["base"] + at, 0
                         continue
                     if name is None:
                         if permissive:
@@ -95,12 +121,13 @@ def read_fasta(spark: SparkSession, path: str, permissive: bool = False, size: i
                         raise ValueError("sequence data before the first FASTA header")
                     out.append((name, ordinal, position, text))
                     position += len(text)
-                    if len(out) >= 20_000:
+                    held += len(text)
+                    if held >= BATCH_BYTES or len(out) >= BATCH_LINES:
                         yield _batch(out)
-                        out = []
+                        out, held = [], 0
                 yield _batch(out)
 
-    return carried.select("start", "end", "open", "bases").mapInArrow(emit, LINES)
+    return _carried(spark, path, size).mapInArrow(emit, LINES)
 
 
 def _batch(rows: list) -> pa.RecordBatch:
@@ -108,7 +135,7 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"name": pa.array(n, pa.string()), "ordinal": pa.array(o, pa.int64()), "position": pa.array(p, pa.int64()), "line": pa.array(t, pa.string())})
 
 
-def _summaries(cuts: DataFrame, path: str) -> DataFrame:
+def _summaries(cuts: DataFrame) -> DataFrame:
     """For each range: its last header, and the bases behind it (of the whole range if it has none)."""
     kind = pa.struct([("at", pa.int64()), ("name", pa.string())])
 
@@ -116,38 +143,42 @@ def _summaries(cuts: DataFrame, path: str) -> DataFrame:
         for batch in it:
             for row in batch.to_pylist():
                 last, tail = None, 0
-                for at, text in _lines(path, row["start"], row["end"]):
+                for at, text in _lines(row["file"], row["start"], row["end"]):
                     if text.startswith(">"):
-                        last, tail = {"at": at, "name": record_name(text)}, 0
+                        last, tail = {"at": row["base"] + at, "name": record_name(text)}, 0
                     else:
                         tail += len(text)
-                yield pa.RecordBatch.from_pydict({"start": [row["start"]], "end": [row["end"]], "last_header": pa.array([last], kind), "tail": pa.array([tail], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"range": [row["range"]], "last_header": pa.array([last], kind), "tail": pa.array([tail], pa.int64())})
 
-    return cuts.mapInArrow(run, "start long, end long, last_header struct<at:long,name:string>, tail long")
+    return cuts.mapInArrow(run, "range long, last_header struct<at:long,name:string>, tail long")
 
 
-def headers(spark: SparkSession, path: str, size: int = RANGE_BYTES) -> DataFrame:
-    """(name, ordinal) of all headers."""
-    ship(spark)
+def records(spark: SparkSession, path: str, size: int = RANGE_BYTES) -> DataFrame:
+    """(name, ordinal, logical_length) of a strict FASTA file; duplicates and files without records are errors."""
 
-    def run(it):
+    def count(it):
         for batch in it:
             for row in batch.to_pylist():
-                found = [(at, record_name(t)) for at, t in _lines(path, row["start"], row["end"]) if t.startswith(">")]
-                yield pa.RecordBatch.from_pydict({"name": pa.array([n for _, n in found], pa.string()), "ordinal": pa.array([a for a, _ in found], pa.int64())})
-
-    return ranges(spark, path, size).mapInArrow(run, "name string, ordinal long")
-
+                open_ = row["open"] or {"name": None, "at": -1}
+                names, ordinals, bases = [open_["name"]], [open_["at"]], [0]
+                for at, text in _lines(row["file"], row["start"], row["end"]):
+                    if text.startswith(">"):
+                        names.append(record_name(text))
+                        ordinals.append(row["base"] + at)
+                        bases.append(0)
+                    elif names[-1] is None:
+                        raise ValueError("sequence data before the first FASTA header")
+                    else:
+                        bases[-1] += len(text)
+                skip = int(names[0] is None)
+                yield pa.RecordBatch.from_pydict({"name": pa.array(names[skip:], pa.string()), "ordinal": pa.array(ordinals[skip:], pa.int64()), "n": pa.array(bases[skip:], pa.int64())})
 
-def records(spark: SparkSession, path: str, size: int = RANGE_BYTES) -> DataFrame:
-    """(name, ordinal, logical_length) of a strict FASTA file; duplicates and files without records are errors."""
-    found = headers(spark, path, size)
-    twice = found.groupBy("name").count().where("count > 1").agg(F.array_sort(F.collect_set("name"))).first()[0]
+    out = _carried(spark, path, size).mapInArrow(count, "name string, ordinal long, n long").groupBy("name", "ordinal").agg(F.sum("n").alias("logical_length"))
+    names = out.groupBy("name").count()
+    many, twice = names.agg(F.count("*"), F.array_sort(F.collect_set(F.when(F.col("count") > 1, F.col("name"))))).first()
     if twice:
         raise ValueError(f"duplicate FASTA records: {', '.join(twice)}")
-    lengths = read_fasta(spark, path, size=size).groupBy("ordinal").agg(F.sum(F.length("line")).alias("n"))
-    out = found.join(lengths, "ordinal", "left").select("name", "ordinal", F.coalesce("n", F.lit(0)).alias("logical_length"))
-    if out.isEmpty():
+    if not many:
         raise ValueError("FASTA file has no records")
     return out
 

@@ -261,3 +261,22 @@ def test_results_filters(spark):
     assert metrics.matching(df, k=["a", "b"], n=2).count() == 1 and metrics.matching(df, k=None).count() == 1
     assert {tuple(r) for r in metrics.facets(df, "k", "n").collect()} == {("k", "a"), ("k", "b"), ("k", None), ("n", "1"), ("n", "2")}
     assert not metrics.has_breakdown(df) and metrics.has_breakdown(df.where("k = 'a'")) and not metrics.has_breakdown(df.select("k"))
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_fasta_in_parts(spark, file, tmp_path, size):
+    """A folder's files are one FASTA file; a record goes on in the next part, and parts are dealt over tasks."""
+    (tmp_path / "parts").mkdir()
+    for name, text in {"part-1": "ACG\n>b\nA\n", "part-0": ">a x\nAC\n", "part-2": "", "part-3": "TT\n>none\n", "_SUCCESS": ">no\n", ".part-0.crc": ">no\n"}.items():
+        file(text, f"parts/{name}")
+    path = str(tmp_path / "parts")
+    lines = fasta.read_fasta(spark, path, size=size)
+    assert sorted((r.name, r.position, r.line) for r in lines.collect()) == [("a", 0, "AC"), ("a", 2, "ACG"), ("b", 0, "A"), ("b", 1, "TT")]
+    found = fasta.records(spark, path, size=size).orderBy("ordinal").collect()
+    assert [tuple(r) for r in found] == [("a", 0, 5), ("b", 12, 3), ("none", 20, 0)]
+    if size == 3:
+        from pyspark.sql import functions as F
+
+        assert lines.select(F.spark_partition_id()).distinct().count() == 4
+    assert store.fasta_to_zstd(spark, path, str(tmp_path / "out"), chunk_bases=4)
+    assert {k: v.hex() for k, v in held(spark, str(tmp_path / "out"))[1].items()} == {"a": "010120", "b": "0330"}
