@@ -280,3 +280,47 @@ def test_fasta_in_parts(spark, file, tmp_path, size):
         assert lines.select(F.spark_partition_id()).distinct().count() == 4
     assert store.fasta_to_zstd(spark, path, str(tmp_path / "out"), chunk_bases=4)
     assert {k: v.hex() for k, v in held(spark, str(tmp_path / "out"))[1].items()} == {"a": "010120", "b": "0330"}
+
+
+@pytest.mark.parametrize("backend", ["manual", "zarr"])
+@pytest.mark.parametrize("arch", ["uint8", "4bit", "2bit"])
+def test_builds_from_lines(spark, tmp_path, backend, arch):
+    """A store of lines is that of whole sequences, and no row holds a whole record."""
+    from basepack.operators import builds
+    from basepack.operators.chunks import chunk_records
+
+    lines = [(r.name, at, r.seq[at : at + 70]) for r in genome(spark).collect() for at in range(0, len(r.seq), 70)]
+    lines = spark.createDataFrame([*lines, ("chr3", 0, "")], "name string, position long, line string")
+    setting, path = builds.Setting(backend, arch, "32", 32, "zstd"), str(tmp_path / "s.zarr")
+    builds.build_store(genome(spark).drop("seq"), path, setting, lines=lines)
+    expected = chunk_records(genome(spark), arch, 32).where("octet_length(payload) > 0").select("array", "component", "chunk_idx", "payload")
+    assert sorted(map(tuple, builds.open_build(spark, path, setting).collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_sources_are_lines(spark, tmp_path):
+    """A source's documents stay rows of their own; texts of one number are put together by their lines' numbers."""
+    from basepack.plans import queries
+
+    rows = [(7, "s", "ab\nc"), (-3, "s", "é\n"), (9000, "s", "xy"), (7, "s", "d"), (1, "t", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    known, lines = queries._sources(spark, str(tmp_path))
+    assert {(r.name, r.logical_length) for r in known.collect()} == {("s", 7), ("t", 0)}
+    assert sorted(map(tuple, lines.collect())) == [("s", 0, "N"), ("s", 1, "abdc"), ("s", 5, "xy")]
+
+
+def test_groups_are_written_and_read_without_joins(spark, tmp_path, monkeypatch):
+    """Chunks that compress well were the side that a join broadcast; folders of chunks were listed on the driver."""
+    from basepack.sources import files
+
+    def refused(*_, **__):
+        raise AssertionError("not for chunks")
+
+    monkeypatch.setattr(files, "listing", refused)
+    monkeypatch.setattr(type(spark.range(1)), "join", refused)
+    chunks = spark.createDataFrame([("a", 0, b"12"), ("a", 2, b"5"), ("other", 0, b"1")], "array string, chunk_idx long, payload binary")
+    arrays = [{"array": "a", "shape": 3, "chunk_bytes": 2, "attributes": {}}]
+    root = zarr3.write_group(str(tmp_path / "x"), {"k": 1}, arrays, chunks, "zstd")
+    attributes, found = zarr3.read_group(spark, root)
+    assert attributes == {"k": 1} and [r.array for r in found.collect()] == ["a"]
+    got = zarr3.read_chunks(spark, root, found).orderBy("chunk_idx").collect()
+    assert [(r.chunk_idx, bytes(r.payload)) for r in got] == [(0, b"12"), (1, b"\0")]
