@@ -16,6 +16,7 @@ from ..sources import chunkfiles, files, zarr3
 from ..workspace import ship
 from . import metrics, windows
 from .chunks import chunk_records
+from .store import pack_records
 
 #: Name of the two-bit architecture on disk.
 ON_DISK = {"2bit": "2bit_flag"}
@@ -39,15 +40,18 @@ def _array_name(array, component):
     return F.concat(array, F.when(component.startswith("2bit_"), F.concat(F.lit("_"), F.substring_index(component, "_", -1))).otherwise(F.lit("")))
 
 
-def build_store(records: DataFrame, path: str, setting: Setting, force: bool = False) -> float:
-    """Seconds that the build of (name, ordinal, logical_length, seq) took; 0 if a complete store is there."""
+def build_store(records: DataFrame, path: str, setting: Setting, force: bool = False, lines: DataFrame | None = None) -> float:
+    """Seconds that the build of (name, ordinal, logical_length, seq) took; 0 if a complete store is there.
+
+    ``lines``: (name, position, line) instead of ``seq``, for records that are too long for a row.
+    """
     if setting.backend not in ("manual", "zarr"):
         raise ValueError(f"unknown backend: {setting.backend}")
     if not force and files.exists(f"{path}/{chunkfiles.DONE}"):
         return 0.0
     began = time.perf_counter()
     known = records.select("name", "ordinal", "logical_length").orderBy("ordinal").collect()  # metadata: a row for each record
-    chunks = chunk_records(records, setting.arch, setting.chunk_bases)
+    chunks = chunk_records(records, setting.arch, setting.chunk_bases) if lines is None else pack_records(lines, setting.arch, setting.chunk_bases)
     if setting.backend == "manual":
         chunkfiles.write_store(path, chunks, setting.attributes(known), setting.compressor, True)
     else:

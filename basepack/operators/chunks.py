@@ -47,6 +47,16 @@ def chunk_starts(chunks: DataFrame, size: Column, by: list[str], order: Column |
     return chunks.withColumn("chunk_size", size).withColumn("chunk_start", F.coalesce(F.sum("chunk_size").over(w), F.lit(0)))
 
 
+def running_sum(rows: DataFrame, by: str, order: str, value: str, name: str, block: int = 4096) -> DataFrame:
+    """``name``: sum of ``value`` in the rows before, by the whole number ``order``; in blocks of it, so that no task sorts a whole group."""
+    cut = F.floor(F.col(order) / block).alias("block")
+    totals = rows.groupBy(by, cut).agg(F.sum(value).alias("total"))
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(by, "block", F.coalesce(F.sum("total").over(before(by, "block")), F.lit(0)).alias("base"))
+    inside = rows.withColumn("block", cut).withColumn("inside", F.coalesce(F.sum(value).over(before(by, "block", order)), F.lit(0)))
+    return inside.join(totals, [by, "block"]).withColumn(name, F.col("base") + F.col("inside")).drop("block", "base", "inside")
+
+
 def lexicographic() -> Column:
     """Order of chunk files by name, in which 10 comes before 2."""
     return F.concat_ws("_", "array", F.col("chunk_idx").cast("string"))

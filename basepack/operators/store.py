@@ -33,22 +33,36 @@ def group_attributes(chunk_bases: int, compressor: str) -> dict:
     return {"schema": SCHEMA, "schema_version": SCHEMA_VERSION, "architecture": ARCHITECTURE, "encoding": GROUP_ENCODING, "base_codes": BASE_CODES, "logical_chunk_bases": chunk_bases, "compressor": compressor}
 
 
-def pack_lines(lines: DataFrame, component: str = "4bit", chunk_bases: int = CHUNK_BASES) -> DataFrame:
-    """(array, component, chunk_idx, bases, payload) from lines with base positions.
+def _cut_lines(lines: DataFrame, chunk_bases: int) -> DataFrame:
+    """(name, chunk_idx, t): texts of chunks.  Lines are cut at the chunks' borders, within the row, and meet by (record, chunk): the largest group is a chunk."""
+    start, n = F.col("position"), F.length("line")
+    first, last = F.floor(start / chunk_bases), F.floor((start + n - 1) / chunk_bases)
 
-    Lines are cut at the chunks' borders and meet by (record, chunk): the largest group is a chunk.
-    """
-    end = F.col("position") + F.length("line")
-    cut = lines.withColumn("chunk_idx", F.explode(F.sequence(F.floor(F.col("position") / chunk_bases), F.floor((end - 1) / chunk_bases))))
-    lo = F.greatest(F.col("position"), F.col("chunk_idx") * chunk_bases)
-    hi = F.least(end, (F.col("chunk_idx") + 1) * chunk_bases)
-    piece = F.col("line").substr((lo - F.col("position") + 1).cast("int"), (hi - lo).cast("int"))
-    groups = cut.select("name", "chunk_idx", lo.alias("at"), piece.alias("piece")).groupBy("name", "chunk_idx").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
-    text = F.array_join(F.transform("p", lambda x: x["piece"]), "")
-    whole = groups.select(F.col("name").alias("array"), F.lit(component).alias("component"), "chunk_idx", text.alias("t"))
+    def piece(k):
+        lo, hi = F.greatest(start, k * chunk_bases), F.least(start + n, (k + 1) * chunk_bases)
+        return F.struct(k.alias("chunk_idx"), lo.alias("at"), F.col("line").substr((lo - start + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
+
+    cut = lines.where(n > 0).select("name", F.explode(F.transform(F.sequence(first, last), piece)).alias("c")).select("name", "c.*")
+    groups = cut.groupBy("name", "chunk_idx").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
+    return groups.select("name", "chunk_idx", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("t"))
+
+
+def pack_lines(lines: DataFrame, component: str = "4bit", chunk_bases: int = CHUNK_BASES) -> DataFrame:
+    """(array, component, chunk_idx, bases, payload) from lines with base positions."""
+    whole = _cut_lines(lines, chunk_bases).select(F.col("name").alias("array"), F.lit(component).alias("component"), "chunk_idx", "t")
     return whole.select("array", "component", "chunk_idx", F.length("t").cast("long").alias("bases"), columns.encode(F.col("t"), component).alias("payload"))
 
 
+def pack_records(lines: DataFrame, arch: str, chunk_bases: int = CHUNK_BASES) -> DataFrame:
+    """(array, component, chunk_idx, payload) of all components, as ``chunk_records`` gives them of whole sequences."""
+    whole = _cut_lines(lines, chunk_bases)
+    out = None
+    for component in codes.ARCHITECTURES[arch]:
+        part = whole.select(F.col("name").alias("array"), F.lit(component).alias("component"), "chunk_idx", columns.encode(F.col("t"), component).alias("payload"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def fasta_to_zstd(spark: SparkSession, fasta_path: str, destination: str, *, chunk_bases: int = CHUNK_BASES, zstd_level: int = 3, overwrite: bool = False) -> str:
     """All checks come before the destination is touched, which is replaced when the store is complete."""
     if chunk_bases <= 0 or chunk_bases % 2:
